@@ -34,5 +34,26 @@ def op3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(counted)
 
 
-QUERIES = {"op1_repair": op1_repair, "op3_lengths": op3_lengths}
+def op5_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 13-word windows of earlier documents, by fixed-block anchors."""
+    from specloom.llm import anchors
+
+    return anchors.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial-matching scores of all documents next to a unigram base."""
+    from specloom.llm import ppm
+
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 400-byte strings that start twice, by a logarithmic family of suffix arrays."""
+    from specloom.llm import suffix_family
+
+    return suffix_family.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {"op1_repair": op1_repair, "op3_lengths": op3_lengths, "op5_anchors": op5_anchors, "op7_ppm": op7_ppm, "op10_suffix_family": op10_suffix_family}
 SQL: dict[str, str] = {}

@@ -58,12 +58,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
         if not len(often):
             break
         pair = ordered[at[often]]  # the rank of a pair is its index
-        by_key = np.argsort(pair)
-        pos = np.minimum(np.searchsorted(pair[by_key], key), len(pair) - 1)
-        hit = (pair[by_key][pos] == key) & inner
-        rank = np.where(hit, by_key[pos], len(pair)).astype(np.int64)
-        before = np.concatenate([[len(pair)], rank[:-1]])
-        after = np.concatenate([rank[1:], [len(pair)]])
+        slot = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        _, first = np.unique(slot, return_index=True)  # of pairs with one slot, the most frequent is replaced in this round
+        first.sort()
+        pair, slot = pair[first], slot[first]
+        slots, ranks = np.zeros(1 << 16, np.uint64), np.full(1 << 16, len(pair), np.int32)
+        slots[slot], ranks[slot] = pair, np.arange(len(pair), dtype=np.int32)
+        mine = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        hit = (slots[mine] == key) & inner
+        rank = np.where(hit, ranks[mine], np.int32(len(pair)))
+        none = np.full(1, len(pair), np.int32)
+        before, after = np.concatenate([none, rank[:-1]]), np.concatenate([rank[1:], none])
         take = np.flatnonzero(hit & (rank < before) & (rank <= after))
         s[take] = np.uint32(vocab + n_rules) + rank[take].astype(np.uint32)
         last[take] = last[take + 1]
@@ -129,7 +134,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            for at, n in slices(t, "text", 8 << 20):
+            for at, n in slices(t, "text", 4 << 20):
                 piece = t.slice(at, n)
                 ids, counts = enc.encode(piece.column("text"))
                 ends = np.cumsum(counts)

@@ -3,21 +3,23 @@
 A byte-level pre-tokenizer never joins a character that is no white space with white
 space that follows it, so a text may be cut before any single space that follows such
 a character, and the pieces' ids put together are the text's ids.  A corpus repeats
-most of its pieces.  Texts with white space before a space are encoded whole.
+most of its pieces: each worker keeps the ids of those it has met, under two 64-bit
+hashes.  Texts with white space before a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from specloom.llm._common import flat
+from specloom.llm._common import BYTE_CODES, SPACES, find, flat, group_starts, mix, prefix_sums, run_hash, text_bytes
 
-_SPACE_RUN = re.compile(r"\s ")
+_CHECK_CODES = mix(BYTE_CODES, 0xC0DE) | np.uint64(1)
+# fixed values: the UTF-8 forms of Unicode's white space beyond ASCII
+WIDE_SPACES = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+_ENDS_SPACE = {n: np.array(sorted(int.from_bytes(c.encode(), "big") for c in [*map(chr, SPACES), *WIDE_SPACES, *"\x1c\x1d\x1e\x1f"] if len(c.encode()) == n)) for n in (1, 2, 3)}
 
 
 class Encoder:
@@ -27,101 +29,112 @@ class Encoder:
     ``cache``: distinct pieces kept between calls; beyond it the cache starts anew.
     """
 
-    def __init__(self, definition: str, cache: int = 1_000_000):
+    def __init__(self, definition: str, cache: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's task slots are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.most = cache
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.zeros(self.size, np.int64)
-        for token, i in vocab.items():
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the bytes that byte-level vocabularies write as themselves
-        hidden = [b for b in range(256) if b not in visible]
-        self.as_char = {b: 256 + i for i, b in enumerate(hidden)}
+        self.as_char = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in visible)}
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.count, self.flat, self.total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, pieces: list[str], group: int = 64) -> None:
-        """Encode new pieces, each with its leading space, many to a call, and cut the ids by their bytes."""
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of a space or none and letters: one pre-token, so the model alone suffices."""
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(self.as_char))] for w in words]
+
+    def _joined(self, pieces: list[str], group: int = 64) -> list[np.ndarray]:
+        """Ids of pieces that begin with a space and end with no white space: many to a call, cut by the bytes they stand for."""
         if not pieces:
-            return
-        for i, p in enumerate(pieces, len(self.known)):
-            self.known[p] = i
-        ids, cut = self._spaced_words(pieces) if all(map(str.isalpha, pieces)) else self._spaced(pieces, group)
-        begin = np.concatenate([[0], cut[:-1]])
-        self.start.append(begin + self.total)
-        self.count.append(cut - begin)
-        self.flat.append(ids)
-        self.total += len(ids)
-
-    def _spaced_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and where each word's ids end, of a space and letters: one pre-token, so the model alone suffices."""
-        model, ids, cut = self.tokenizer.model, [], []
-        for w in words:
-            w = " " + w
-            w = w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(self.as_char)
-            ids += [t.id for t in model.tokenize(w)]
-            cut.append(len(ids))
-        return np.array(ids, np.uint32), np.array(cut, np.int64)
-
-    def _spaced(self, pieces: list[str], group: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same for any pieces: many to a call, the ids cut by the bytes they stand for."""
-        spaced = [" " + p for p in pieces]
-        ids = np.concatenate(self._whole(["".join(spaced[i : i + group]) for i in range(0, len(spaced), group)]))
-        return ids, np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in spaced])) + 1
+            return []
+        ids = np.concatenate(self._whole(["".join(pieces[i : i + group]) for i in range(0, len(pieces), group)]))
+        cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+        return np.split(ids, cut[:-1])
+
+    def _learn(self, key: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
+        kind = np.fromiter((0 if p[p[0] == " " :].isalpha() else 1 if p[0] == " " and not p[-1].isspace() else 2 for p in pieces), np.int8, len(pieces))
+        found: list = [None] * len(pieces)
+        for which, encode in enumerate((self._words, self._joined, self._whole)):
+            at = np.flatnonzero(kind == which).tolist()
+            for i, ids in zip(at, encode([pieces[i] for i in at])):
+                found[i] = ids
+        count = np.fromiter(map(len, found), np.uint32, len(found))
+        total = int(count.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(total, self.used), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter((i for f in found for i in f), np.uint32, total)
+        at = np.searchsorted(self.key, key)
+        start = self.used + np.cumsum(count, dtype=np.int64) - count
+        self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
+        self.start, self.count = np.insert(self.start, at, start.astype(np.uint32)), np.insert(self.count, at, count)
+        self.used += total
 
     def encode(self, texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = flat(texts)
         n = len(column)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        odd = np.fromiter((_SPACE_RUN.search(x) is not None for x in column.to_pylist()), bool, n)
-        plain = np.flatnonzero(~odd)
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
-        if len(plain):
-            lists = pc.split_pattern(column.take(pa.array(plain)), " ")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            values = lists.flatten()
-            heads = self._whole(values.take(pa.array(offsets[:-1])).to_pylist())
-            coded = values.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            inner = np.ones(len(codes), bool)
-            inner[offsets[:-1]] = False
-            used = np.zeros(len(coded.dictionary), bool)
-            used[codes[inner]] = True
-            words = coded.dictionary.to_pylist()
-            if len(self.known) + int(used.sum()) > self.most:
-                self._reset()
-            new = [w for w, u in zip(words, used.tolist()) if u and w not in self.known]
-            self._learn([w for w in new if w.isalpha()])
-            self._learn([w for w in new if not w.isalpha()])
-            start, count, ids = np.concatenate(self.start), np.concatenate(self.count), np.concatenate(self.flat)
-            self.start, self.count, self.flat = [start], [count], [ids]
-            place = np.fromiter((self.known[w] if u else 0 for w, u in zip(words, used.tolist())), np.int64, len(words))
-            for k, row in enumerate(plain.tolist()):
-                mine = place[codes[offsets[k] + 1 : offsets[k + 1]]]
-                c = count[mine]
-                if len(mine):
-                    ends = np.cumsum(c)
-                    out[row] = np.concatenate([heads[k], ids[np.arange(ends[-1]) + np.repeat(start[mine] - (ends - c), c)]])
-                else:
-                    out[row] = heads[k]
+        data, offsets = text_bytes(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        mark = data == 32
+        spaces = np.flatnonzero(mark)
+        mark[offsets[:-1][np.diff(offsets) > 0]] = True
+        cut = np.flatnonzero(mark)
+        doc = np.searchsorted(offsets, cut, side="right") - 1
+        odd = np.zeros(n, bool)
+        inner = spaces[offsets[np.searchsorted(offsets, spaces, side="right") - 1] < spaces]
+        for width, forms in _ENDS_SPACE.items():
+            at = inner[inner >= width]
+            value = sum(data[at - k].astype(np.int64) << 8 * (k - 1) for k in range(1, width + 1))
+            bad = at[np.isin(value, forms)]
+            odd[np.searchsorted(offsets, bad, side="right") - 1] = True
+        end = np.append(cut[1:], len(data))
+        plain = ~odd[doc]
+        cut, end, doc = cut[plain], end[plain], doc[plain]
+        key, check = (run_hash(prefix_sums(codes[data]), cut, end) for codes in (BYTE_CODES, _CHECK_CODES))
+        order = np.argsort(key)
+        at = group_starts(key[order])
+        group = np.empty(len(key), np.int64)
+        group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(key))))
+        one = order[at]
+        _, known = find(self.key, key[one])
+        new = one[~known]
+        if len(self.key) + len(new) > self.most:
+            self._reset()
+            new = one
+        raw = data.tobytes()
+        if len(new):
+            self._learn(key[new], check[new], [raw[a:b].decode() for a, b in zip(cut[new].tolist(), end[new].tolist())])
+        place = find(self.key, key[one])[0][group]
+        clash = self.check[place] != check if len(place) else np.zeros(0, bool)
+        if clash.any():  # two pieces with one hash: their texts are encoded whole
+            odd[doc[clash]] = True
+            keep = ~odd[doc]
+            place, doc = place[keep], doc[keep]
+        count = self.count[place].astype(np.int64)
+        upto = np.cumsum(count)
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.start[place] - (upto - count), count)] if len(place) else np.zeros(0, np.uint32)
+        counts = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
         if odd.any():
             rows = np.flatnonzero(odd)
-            for row, ids in zip(rows.tolist(), self._whole(column.take(pa.array(rows)).to_pylist())):
-                out[row] = ids
-        return np.concatenate(out), np.fromiter(map(len, out), np.int64, n)
+            whole = self._whole(column.take(pa.array(rows)).to_pylist())
+            cuts = np.cumsum(counts)[rows]
+            ids = np.insert(ids, np.repeat(cuts, [len(w) for w in whole]), np.concatenate(whole))
+            counts[rows] = [len(w) for w in whole]
+        return ids, counts
 
 
 _encoders: dict[int, Encoder] = {}
