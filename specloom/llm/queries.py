@@ -25,6 +25,30 @@ def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(shards)
 
 
+def op2_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures of all documents and the cascade's verdict. Which rule spoke first depends on measured costs, so it is left out."""
+    from specloom.llm import quality
+
+    return quality.judge(read(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one full of control strings, rendered and read back."""
+    from specloom.llm import chat
+
+    odd = spark.sql("select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    return chat.read_back(chat.render(turns))
+
+
+def op8_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in windows of the benchmark's items."""
+    from specloom.llm import decontaminate
+
+    found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), with_spans=False)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def op3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact length histogram of all documents with its suffix sums."""
     from specloom.llm import lengths
@@ -55,5 +79,5 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_repair": op1_repair, "op3_lengths": op3_lengths, "op5_anchors": op5_anchors, "op7_ppm": op7_ppm, "op10_suffix_family": op10_suffix_family}
+QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op7_ppm, op8_automaton, op10_suffix_family)}
 SQL: dict[str, str] = {}
