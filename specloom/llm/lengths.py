@@ -33,7 +33,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(text.value)
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            for at, rows in slices(t, "text", 4 << 20):
+            for at, rows in slices(t, "text"):
                 lengths, n = np.unique(enc.encode(t.column("text").slice(at, rows))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
