@@ -41,6 +41,27 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(turns))
 
 
+def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' places in a mixture of the sources, their sizes to the power of 0.7 as target weights."""
+    from specloom.llm import pfair
+
+    return pfair.schedule(read(spark, sf_dir, "documents"))
+
+
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near duplicates and its number of links."""
+    from specloom.llm import lsh_forest
+
+    return lsh_forest.join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's stages, the last one's rows."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that stand in windows of the benchmark's items."""
     from specloom.llm import decontaminate
@@ -79,5 +100,5 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op7_ppm, op8_automaton, op10_suffix_family)}
+QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op6_pfair, op7_ppm, op8_automaton, op9_forest, op10_suffix_family, pipeline)}
 SQL: dict[str, str] = {}
