@@ -41,7 +41,9 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The order of the input's files by name, and of the rows in each, is the mixture's.
     """
-    order = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")] if from_files(docs) else ["doc_id"]
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    order = [number.alias("_part"), name.alias("_file"), F.col("_metadata.row_index").alias("_row")] if from_files(docs) else ["doc_id"]
     return repair.read_documents(repair.write_shards(docs, definition(tokenizer_file()), order=order))
 
 

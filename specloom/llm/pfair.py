@@ -38,8 +38,7 @@ def shares(weights: dict, period: int) -> dict:
         for n in sorted(names, key=lambda n: (out[n] - exact[n], str(n)))[:gap]:
             out[n] += 1
     while (gap := sum(out.values()) - period) > 0:
-        for n in sorted((n for n in names if out[n] > 1), key=lambda n: (exact[n] - out[n], str(n)))[:gap]:
-            out[n] -= 1
+        out[max(names, key=lambda n: (out[n] - exact[n] if out[n] > 1 and exact[n] > 1 else -1, out[n], str(n)))] -= 1
     return out
 
 
