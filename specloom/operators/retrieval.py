@@ -45,8 +45,8 @@ def bm25_index(chunks: DataFrame, text: str = "text") -> Bm25Index:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, n: how often the term stands in the query."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    """query_id, term, asked: how often the term stands in the query."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("asked"))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     hits = index.postings.join(F.broadcast(wanted), ["index_key", "term"])  # the queries' terms are few
     rows = hits.join(index.lengths, ["index_key", "chunk_pos"]).join(F.broadcast(index.stats), "index_key")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return rows.groupBy("query_id", "index_key", "chunk_pos").agg(F.round(F.sum(F.col("n") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
+    return rows.groupBy("query_id", "index_key", "chunk_pos").agg(F.round(F.sum(F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
 
 
 def _top(scores: DataFrame, k: int, *order: Column) -> DataFrame:
