@@ -60,7 +60,8 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
 
 def _top(scores: DataFrame, k: int, *order: Column) -> DataFrame:
     w = Window.partitionBy("query_id", "index_key").orderBy(*order)
-    return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    # the bare row number is what Spark limits within the partitions before it sorts them together
+    return scores.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def bm25_top(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:

@@ -270,7 +270,7 @@ def coordinate_rows(tables: DataFrame) -> DataFrame:
     data = F.when(F.size("rows") > 1, F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1)))).otherwise(F.col("rows"))
     rows = tables.filter(F.size("rows") > 0).filter(torque).select("doc_id", "page", F.col("rows")[0].alias("head"), F.posexplode(data).alias("k", "row"))
     rows = rows.filter(F.exists("row", lambda c: strip(c) != ""))
-    cells = F.transform(F.arrays_zip(F.col("head").alias("h"), F.col("row").alias("c")), lambda x: F.struct(F.lower(x["h"]).alias("h"), F.replace(strip(x["c"]), F.lit(","), F.lit("")).alias("c")))
+    cells = F.transform(F.zip_with("head", "row", lambda h, c: F.struct(h.alias("h"), c.alias("c"))), lambda x: F.struct(F.lower(x["h"]).alias("h"), F.replace(strip(x["c"]), F.lit(","), F.lit("")).alias("c")))
     rows = rows.withColumn("cells", F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(1))))
     tests = {
         "value_nm": lambda h: h.contains("n·m") | h.contains("n.m") | (h == "nm"),
