@@ -106,7 +106,8 @@ def candidate_ties(nodes: DataFrame, trees: int, depth: int, prefix: int) -> Dat
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(F.col("signature"), t * (2 * depth) + 1, F.lit(2 * prefix)))).alias("tree", "prefix")
     places = nodes.filter("signature is not null").select("node", tree).select("node", F.xxhash64("tree", "prefix").alias("place"))
     least = places.groupBy("place").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v != w").drop("w")
-    return places.join(least, "place").filter("node != v").select(F.col("node").alias("u"), "v")
+    # shuffled at every size alike: both sides grow with the corpus
+    return places.join(least.hint("merge"), "place").filter("node != v").select(F.col("node").alias("u"), "v")
 
 
 def _block_pair(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: tuple[int, int], columns: int = 4096) -> np.ndarray:
@@ -220,7 +221,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), tr
     pairs = _block_pairs(groups, block, together)
     # of all copies of a text the row with the node's doc_id brings it; keyed by both, copies do not meet in a task
     wanted = groups.select("node", "doc_id").distinct()
-    texts = slim.withColumn("node", F.unhex(F.md5("text"))).join(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = slim.withColumn("node", F.unhex(F.md5("text"))).join(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("node", "_node").hint("merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     found = materialise(pairs.join(texts, "node").select("share", "i", "j", "side", "root", "node", "size", "text").groupBy("share", "i", "j").applyInArrow(_verify(n, threshold), FOUND), "forest-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -256,5 +257,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     stay = rows.groupBy("node").agg(first).join(classes.select("node", "class"), "node").groupBy("class").agg(F.min("first").alias("first")).select("first.fp", "first.at")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     marked = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names)), *place)
-    kept = marked.join(stay, (F.xxhash64("_path") == F.col("fp")) & (F.col("_at") == F.col("at")), "left_semi")
+    kept = marked.join(stay.hint("merge"), (F.xxhash64("_path") == F.col("fp")) & (F.col("_at") == F.col("at")), "left_semi")
     return kept.select(*(F.col(k).alias(c) for k, c in zip(names, docs.columns)))

@@ -127,4 +127,4 @@ def interleave(docs: DataFrame, weights: dict | None = None, block_docs: int = 3
     placed = _placed(rows, weights, block_docs, period, temperature).select("fp", "row", "slot", "position")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     marked = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names)), fp, at)
-    return marked.join(placed, ["fp", "row"]).sort("slot", "position").select(*(F.col(k).alias(c) for k, c in zip(names, docs.columns)))
+    return marked.join(placed.hint("merge"), ["fp", "row"]).sort("slot", "position").select(*(F.col(k).alias(c) for k, c in zip(names, docs.columns)))
