@@ -113,7 +113,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     """
     spark = docs.sparkSession
     order = order or ["doc_id"]
-    slim = docs.select(*(F.col(c) if isinstance(c, str) else c for c in order if c != "doc_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(*(F.col(c) if isinstance(c, str) else c for c in order if not (isinstance(c, str) and c == "doc_id")), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [c for c in slim.columns if c not in ("doc_id", "text")]
     keys = [*names, "doc_id"]
     text = spark.sparkContext.broadcast(tokenizer)
