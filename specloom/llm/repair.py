@@ -84,8 +84,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
     return s, np.flatnonzero(last) + 1, all_rules, np.concatenate(lengths)[vocab:]
 
 
-def expand(symbols: np.ndarray, vocab: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: whole levels of nonterminals are replaced at once."""
+def _unroll(symbols: np.ndarray, vocab: int, rules: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for: all nonterminals are replaced at once, level by level."""
     s = symbols.astype(np.uint32)
     while len(big := np.flatnonzero(s >= vocab)):
         width = np.ones(len(s), np.int64)
@@ -99,6 +99,27 @@ def expand(symbols: np.ndarray, vocab: int, rules: np.ndarray) -> np.ndarray:
     return s
 
 
+def expand(symbols: np.ndarray, vocab: int, rules: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for. With the rules' expansion ``lengths`` each rule is unrolled once and copied."""
+    big = np.flatnonzero(symbols >= vocab)
+    if lengths is None or not len(big):
+        return _unroll(symbols, vocab, rules)
+    texts = _unroll(np.arange(vocab, vocab + len(rules)), vocab, rules)
+    size = lengths.astype(np.int64)
+    begin = np.cumsum(size) - size
+    rule = symbols[big].astype(np.int64) - vocab
+    width = np.ones(len(symbols), np.int64)
+    width[big] = size[rule]
+    end = np.cumsum(width)
+    out = np.empty(end[-1], np.uint32)
+    out[end - 1] = symbols  # right for terminals; the others' places are written next
+    w = width[big]
+    upto = np.cumsum(w)
+    run = np.arange(upto[-1])
+    out[run + np.repeat(end[big] - upto, w)] = texts[run + np.repeat(begin[rule] - (upto - w), w)]
+    return out
+
+
 def _shard(part: int, number: int, ids: np.ndarray, counts: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, vocab: int) -> list:
     symbols, ends, rules, lengths = compress(ids, np.cumsum(counts), vocab)
     width = 2 if vocab + len(rules) <= 1 << 16 else 4
@@ -205,8 +226,8 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                symbols, rules, _ = _grammar(row)
-                ids = expand(symbols, row["vocab"], rules).astype("<u4")
+                symbols, rules, lengths = _grammar(row)
+                ids = expand(symbols, row["vocab"], rules, lengths).astype("<u4", copy=False)
                 counts = np.frombuffer(row["doc_lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(counts)
                 cuts = list(zip((ends - counts).tolist(), ends.tolist()))

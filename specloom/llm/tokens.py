@@ -3,8 +3,9 @@
 A byte-level pre-tokenizer never joins a character that is no white space with white
 space that follows it, so a text may be cut before any single space that follows such
 a character, and the pieces' ids put together are the text's ids.  A corpus repeats
-most of its pieces: each worker keeps the ids of those it has met, under two 64-bit
-hashes.  Texts with white space before a space are encoded whole.
+most of its pieces: each worker keeps the ids of those it has met, under a 64-bit hash,
+and compares length and first eight bytes.  Texts with white space before a space are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from specloom.llm._common import BYTE_CODES, SPACES, find, flat, group_starts, mix, prefix_sums, run_hash, text_bytes
+from specloom.llm._common import BYTE_CODES, SPACES, find, flat, group_starts, prefix_sums, run_hash, text_bytes
 
-_CHECK_CODES = mix(BYTE_CODES, 0xC0DE) | np.uint64(1)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # of the first n bytes
 # fixed values: the UTF-8 forms of Unicode's white space beyond ASCII
 WIDE_SPACES = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 _ENDS_SPACE = {n: np.array(sorted(int.from_bytes(c.encode(), "big") for c in [*map(chr, SPACES), *WIDE_SPACES, *"\x1c\x1d\x1e\x1f"] if len(c.encode()) == n)) for n in (1, 2, 3)}
@@ -104,7 +105,10 @@ class Encoder:
         end = np.append(cut[1:], len(data))
         plain = ~odd[doc]
         cut, end, doc = cut[plain], end[plain], doc[plain]
-        key, check = (run_hash(prefix_sums(codes[data]), cut, end) for codes in (BYTE_CODES, _CHECK_CODES))
+        key = run_hash(prefix_sums(BYTE_CODES[data]), cut, end)
+        size = end - cut
+        eight = np.ndarray((len(data),), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))[cut]
+        check = eight & (_MASKS[np.minimum(size, 8)]) ^ (size.astype(np.uint64) << np.uint64(40))
         order = np.argsort(key)
         at = group_starts(key[order])
         group = np.empty(len(key), np.int64)

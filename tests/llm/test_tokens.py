@@ -48,6 +48,7 @@ def test_grammar_round_trip_and_random_access():
     symbols, cut, rules, sizes = repair.compress(ids, ends, 12, rounds=8, per_round=16)
     assert len(symbols) < 0.7 * len(ids)
     assert repair.expand(symbols, 12, rules).tolist() == ids.tolist()
+    assert repair.expand(symbols, 12, rules, sizes).tolist() == ids.tolist()
     assert all(len(repair.expand(np.array([12 + i]), 12, rules)) == n for i, n in enumerate(sizes.tolist()))
     for a, b, x, y in zip(np.append(0, cut), cut, np.append(0, ends), ends):  # no symbol spans two documents
         assert repair.expand(symbols[a:b], 12, rules).tolist() == ids[x:y].tolist()
