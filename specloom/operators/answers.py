@@ -130,5 +130,10 @@ def validate(results: DataFrame) -> DataFrame:
     return kept.withColumn("position", F.row_number().over(place) - 1).select("query_id", "position", *RESULT_COLUMNS[1:-1], "is_conflict")
 
 
+def confidence_band(confidence: Column) -> Column:
+    """'high' above 0.95, 'medium' above 0.8, else 'low'."""
+    return F.when(confidence > 0.95, "high").when(confidence > 0.8, "medium").otherwise("low")
+
+
 def short(results: DataFrame) -> DataFrame:
     return results.select("query_id", "position", "component", "spec_type", "value", "unit")

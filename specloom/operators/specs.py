@@ -261,6 +261,18 @@ def generic_inline_specs(lines: DataFrame) -> DataFrame:
     return generic_staged_torques(lines).unionByName(generic_inline_torques(lines)).unionByName(generic_dimensions(lines))
 
 
+def _cell_of(test, earlier: list):
+    """A condition on (header, cell): a number under a header that meets ``test`` and none of the tests before it."""
+
+    def mine(x: Column) -> Column:
+        ok = test(x["h"]) & x["c"].rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$")
+        for other in earlier:
+            ok = ok & ~other(x["h"])
+        return ok
+
+    return mine
+
+
 def coordinate_rows(tables: DataFrame) -> DataFrame:
     """Torque rows of tables found by position: (doc_id, page, rows array<array<string>>), header in row 0.
 
@@ -281,14 +293,7 @@ def coordinate_rows(tables: DataFrame) -> DataFrame:
     values: dict[str, Column] = {}
     names = list(tests)
     for n, name in enumerate(names):
-
-        def mine(x, n=n, name=name):
-            ok = tests[name](x["h"]) & x["c"].rlike(r"^[0-9]*\.?[0-9]+$|^[0-9]+\.$")
-            for earlier in names[:n]:
-                ok = ok & ~tests[earlier](x["h"])
-            return ok
-
-        values[name] = F.try_element_at(F.filter("cells", mine), F.lit(-1))["c"].try_cast("double")
+        values[name] = F.try_element_at(F.filter("cells", _cell_of(tests[name], [tests[e] for e in names[:n]])), F.lit(-1))["c"].try_cast("double")
     found = F.coalesce(values["value_nm"], values["value_lbft"], values["value_kgcm"]).isNotNull()
     text = F.array_join(F.transform("row", lambda c: F.when(c == "", F.lit("—")).otherwise(c)), " | ")
     flat = rows.select("doc_id", "page", "k", F.col("row"), text.alias("text"), found.alias("found"), *(v.alias(n) for n, v in values.items()))

@@ -94,7 +94,7 @@ def ctes() -> str:
     """DuckDB: raw (lines), typed (lines with places), rows1 (table rows), inl (inline), blk (blocks), segs (all, numbered)."""
     raw = lines_sql("varchar", "p_size * 738 // 1000")
     where = "partition by doc_id order by idx rows between unbounded preceding and current row"
-    return f"""with numbered as (select doc_id, row_number() over (partition by doc_id order by sec, pos, line) - 1 as idx, trim(line) as text from ({raw})),
+    return f"""with numbered as (select doc_id, cast(row_number() over (partition by doc_id order by sec, pos, line) - 1 as int) as idx, trim(line) as text from ({raw})),
 marked as (select *, case when {is_("text", P.PAGE)} then cast({re("text", P.PAGE, 1)} as int) end as pg,
   {is_("text", P.SECTION)} as is_sec, {is_("text", P.SUBSECTION)} as is_sub from numbered),
 filled as (select *, last_value(case when is_sec then trim({re("text", P.SECTION, 1)}) end ignore nulls) over ({where}) as sid,

@@ -190,7 +190,7 @@ _PACK = """list_reduce(list_transform(%s, lambda s: {'done': cast([] as varchar[
 @query(f"select doc_id, unnest(p) as piece, generate_subscripts(p, 1) - 1 as k from (select doc_id, case when s.buf <> '' then list_append(s.done, s.buf) else s.done end as p from (select doc_id, {_PACK % _SENTENCES} as s from documents))")
 def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed into pieces of under 400 characters where they fit."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pack_sentences(F.col("text"))).alias("k", "piece"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.pack_sentences(F.col("text"))).alias("k", "piece")).withColumn("k", F.col("k").cast("long"))
 
 
 @query(
@@ -313,18 +313,18 @@ raws as (select index_key, term, ln(n - df + 0.5) - ln(df + 0.5) as raw from (se
 idfs as (select index_key, term, case when raw < 0 then 0.25 * avg(raw) over (partition by index_key) else raw end as idf from raws),
 qt as (select query_id, term, count(*) as c from (select query_id, unnest({_TOKS.format(c="query")}) as term from queries) group by all),
 hits as (select query_id, index_key, chunk_pos, round(sum(c * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from qt join idfs using (term) join post using (index_key, term) join lens using (index_key, chunk_pos) join stats using (index_key) group by all),
-bm25 as (select query_id, index_key, chunk_pos, score, rank from (select query_id, index_key, chunk_pos, coalesce(score, 0) as score, row_number() over (partition by query_id, index_key order by coalesce(score, 0) desc, chunk_pos desc) - 1 as rank
+bm25 as (select query_id, index_key, chunk_pos, score, rank from (select query_id, index_key, chunk_pos, coalesce(score, 0) as score, cast(row_number() over (partition by query_id, index_key order by coalesce(score, 0) desc, chunk_pos desc) - 1 as int) as rank
  from (select query_id, index_key, chunk_pos from queries cross join lens) left join hits using (query_id, index_key, chunk_pos)) where rank < {_K})"""
 # a document's vector is the one with its number modulo the vectors; query i takes vector 7 i + 3
 _DENSE = f"""vecs as (select index_key, chunk_pos, embedding from (select lang as index_key, doc_id as chunk_pos, doc_id % (select count(*) from embeddings) as vec_id from documents) join embeddings using (vec_id)),
 qvecs as (select query_id, embedding as qvec from (select query_id, query_id * 7 + 3 as vec_id from queries) join embeddings using (vec_id)),
-dense as (select query_id, index_key, chunk_pos, score, rank from (select *, row_number() over (partition by query_id, index_key order by score desc, chunk_pos) - 1 as rank
+dense as (select query_id, index_key, chunk_pos, score, rank from (select *, cast(row_number() over (partition by query_id, index_key order by score desc, chunk_pos) - 1 as int) as rank
  from (select query_id, index_key, chunk_pos, round(list_sum(list_transform(list_zip(embedding, qvec), lambda p: cast(p[1] as double) * cast(p[2] as double))), 6) as score from vecs cross join qvecs)) where rank < {_K})"""
 _WITHIN = f"""within0 as (select query_id, index_key, chunk_pos, min(dr) as dr, min(sr) as sr from (select query_id, index_key, chunk_pos, rank as dr, null as sr from dense union all select query_id, index_key, chunk_pos, null, rank from bm25) group by all),
-fused as (select query_id, index_key, chunk_pos, rrf_score, rank from (select *, row_number() over (partition by query_id, index_key order by rrf_score desc, coalesce(dr, 1073741824), coalesce(sr, 1073741824)) - 1 as rank
- from (select *, round(coalesce(1.0 / (61 + dr), 0.0) + coalesce(1.0 / (61 + sr), 0.0), 6) as rrf_score from within0)) where rank < {_K})"""
+fused as (select query_id, index_key, chunk_pos, rrf_score, cast(rank0 as int) as rank from (select *, row_number() over (partition by query_id, index_key order by rrf_score desc, coalesce(dr, 1073741824), coalesce(sr, 1073741824)) - 1 as rank0
+ from (select *, round(coalesce(1.0 / (61 + dr), 0.0) + coalesce(1.0 / (61 + sr), 0.0), 6) as rrf_score from within0)) where rank0 < {_K})"""
 # 'spec' is the English index, 'procedure' the French one; even documents have a variant
-_CROSS = """crossed as (select *, case chunk_pos % 4 when 0 then ['RWD'] when 2 then ['4WD'] else cast([] as varchar[]) end as vehicle_variant, row_number() over (partition by query_id order by final_rrf desc, t, rank) - 1 as place
+_CROSS = """crossed as (select *, case chunk_pos % 4 when 0 then ['RWD'] when 2 then ['4WD'] else cast([] as varchar[]) end as vehicle_variant, cast(row_number() over (partition by query_id order by final_rrf desc, t, rank) - 1 as int) as place
  from (select query_id, index_key, chunk_pos, rank, 1.0 / (61 + rank) as final_rrf, case when index_key = 'en' then 0 else 1 end as t from fused where index_key in ('en', 'fr')))"""
 
 
@@ -385,7 +385,7 @@ def rrf_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {_BM25}, {_DENSE}, {_WITHIN}, {_CROSS}, kept as (select *, row_number() over (partition by query_id order by place) - 1 as p, max(final_rrf) over (partition by query_id) as top from crossed where len(vehicle_variant) = 0 or list_contains(vehicle_variant, 'RWD')) "
+    f"with {_BM25}, {_DENSE}, {_WITHIN}, {_CROSS}, kept as (select *, cast(row_number() over (partition by query_id order by place) - 1 as int) as p, max(final_rrf) over (partition by query_id) as top from crossed where len(vehicle_variant) = 0 or list_contains(vehicle_variant, 'RWD')) "
     "select query_id, index_key, chunk_pos, p as place from kept where p < 5 and top >= 0.010"
 )
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,7 +423,7 @@ _CLEAN_VALUE = "case when try_cast(v as double) = floor(try_cast(v as double)) t
  cleaned as (select * exclude (v, v0), {_CLEAN_VALUE} as value from twice),
  wins as (select *, first_value(value) over (partition by query_id, trim(lower(component)), unit, stage_number, section_id order by seq) as fv, min(value) over (partition by query_id, trim(lower(component)), unit, stage_number, section_id) <> max(value) over (partition by query_id, trim(lower(component)), unit, stage_number, section_id) as is_conflict, min(seq) over (partition by query_id, trim(lower(component)), unit, stage_number, section_id) as fs from cleaned),
  best as (select *, row_number() over (partition by query_id, trim(lower(component)), unit, stage_number, section_id order by value = fv desc, confidence desc, seq) as n from wins)
- select query_id, row_number() over (partition by query_id order by section_id, component, fs) - 1 as position, component, spec_type, value, unit, section_id, stage_number, confidence, is_conflict from best where n = 1"""
+ select query_id, cast(row_number() over (partition by query_id order by section_id, component, fs) - 1 as int) as position, component, spec_type, value, unit, section_id, stage_number, confidence, is_conflict from best where n = 1"""
     )
 )
 def validated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
