@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specloom.functions import patterns as P
 from specloom.functions.text import clean, retention
 from specloom.operators import procedures, specs, structure
+from specloom.sources.tables import materialise
 
 ORDER = {"table": 0, "inline": 1, "coordinate": 2, "procedure": 3}
 
@@ -36,7 +37,8 @@ def spec_parts(lines: DataFrame, dialect: P.Dialect = P.WORKSHOP, tables: DataFr
 
 
 def all_segments(lines: DataFrame, dialect: P.Dialect = P.WORKSHOP, tables: DataFrame | None = None) -> DataFrame:
-    """Spec segments, duplicates included, then procedure blocks."""
+    """Spec segments, duplicates included, then procedure blocks. The lines are parsed once, for all of them."""
+    lines = materialise(lines, "lines")
     return numbered(spec_parts(lines, dialect, tables) | {"procedure": procedures.blocks(lines)})
 
 
@@ -62,7 +64,7 @@ def extract(docs: DataFrame, dialect: P.Dialect = P.WORKSHOP, tables: DataFrame
     """
     docs = docs if cleaned else structure.clean_documents(docs, dialect)
     lines = structure.typed_lines(structure.split_lines(docs), dialect)
-    every = all_segments(lines, dialect, tables)
+    every = materialise(all_segments(lines, dialect, tables), "segments")
     deduped = deduplicated(every)
     have = lambda df: df.select("doc_id").distinct()
     without = every.join(have(deduped), "doc_id", "left_anti")
