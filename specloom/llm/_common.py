@@ -15,54 +15,17 @@ Nothing is collected on the driver, and a lost task is computed again from its i
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACES = b" \t\n\x0b\x0c\r"
-
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; on a local master without one, a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="specloom-shared-")
-    return _own_dir[app]
+from specloom.sources.tables import materialise, new_path, shared_dir
 
+__all__ = ["materialise", "new_path", "shared_dir"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def remove(jvm=spark._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()):
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            pass
-
-    atexit.register(remove)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends here."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 def plan_bytes(df: DataFrame) -> int | None:
