@@ -286,7 +286,7 @@ def enriched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spec and procedure chunks of the manual; tests check ids, splitting and hints."""
+    """Spec and procedure chunks of the manual; tests cover its parts: hints, enrichment and splitting."""
     every, kept = segments.extract(manual.documents(spark, sf_dir))
     return chunks.build(every, kept, context.hints(every, kept)).drop("spec_value")
 

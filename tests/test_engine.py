@@ -203,3 +203,71 @@ def test_deferred_step_keeps_the_phrase(spark):
     every, kept = segments.extract(docs)
     got = {r.line_number: r.hint for r in context.hints(every, kept).collect()}
     assert got == {4: "SVT Raptor", 6: "lower shock nut (SVT Raptor)"}
+
+
+def hints_model(every, kept):
+    """The lookups as loops over one document's segments."""
+    import re
+
+    from specloom.functions import patterns as P
+
+    trim, phrase = re.compile(P.TRIM), re.compile(P.PHRASE)
+    found, source = {}, {}
+    for s in kept:
+        ln, v = s.line_number, s.spec_value.value_nm if s.spec_value else None
+        if s.component.strip() or not ln:
+            continue
+        source.pop(ln, None)
+        tables = [t for t in kept if t.component.strip() and t.content_type == "torque_table_row" and t.spec_value.value_nm and t.section_id == s.section_id]
+        close = [(abs(v - t.spec_value.value_nm) / max(t.spec_value.value_nm, 1), abs(t.line_number - ln), t.seg_seq, t.component) for t in tables if v is not None]
+        close = [c for c in close if c[0] <= 0.05]
+        if close:
+            found[ln] = min(close)[3]
+            continue
+        named = [t for t in every if ln - 30 <= t.line_number < ln and t.component.strip()]
+        if named:
+            found[ln] = max(named, key=lambda t: (t.line_number, -t.seg_seq)).component.strip()
+            continue
+        back = [t for t in every if ln - 150 <= t.line_number < ln and trim.search(t.text)]
+        ahead = [t for t in every if ln < t.line_number <= ln + 40 and trim.search(t.text)]
+        if back:
+            t = max(back, key=lambda t: (t.line_number, phrase.search(t.text) is not None, -t.seg_seq))
+            p = phrase.search(t.text)
+        elif ahead:
+            t, p = min(ahead, key=lambda t: (t.line_number, t.seg_seq)), None
+        else:
+            continue
+        name = trim.search(t.text).group(1)
+        found[ln] = f"{p.group(1).strip()} ({name})" if p else name
+        source[ln] = (t.line_number, name)
+    for line in {x for x, _ in source.values()}:
+        for ln in sorted(n for n, x in source.items() if x[0] == line)[:-1]:
+            found[ln] = source[ln][1]
+    return found
+
+
+def test_hints_equal_a_loop(spark):
+    r = random.Random(5)
+    lines = []
+    for s in range(4):
+        lines += [f"SECTION 10{s}: Part {s}", "SPECIFICATIONS", "Nm lb-ft"] + [f"Bolt {s}{i} {r.randint(5, 60)} 3 —" for i in range(3)] + ["ADJUSTMENTS"]
+        for _ in range(60):
+            lines.append(
+                r.choice(
+                    [
+                        f"z Tighten all to {r.randint(5, 90)} Nm (4 lb-ft).",
+                        "NOTICE: Do not tighten the lower shock nut on SVT Raptor.",
+                        "1. Remove the Lariat trim.",
+                        "z Nothing of note.",
+                        "2. Look at it.",
+                        "z Gap: 5.5 mm (0.2 in).",
+                        "The long link to 33 Nm (24 lb-ft).",
+                    ]
+                )
+            )
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    every, kept = segments.extract(docs)
+    got = {x.line_number: x.hint for x in context.hints(every, kept).collect()}
+    order = lambda rows: sorted(rows, key=lambda x: x.seg_seq)
+    want = hints_model(order(every.collect()), order(kept.collect()))
+    assert got == want and len(set(want.values())) > 5
