@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in doc_id order, are cut into blocks.  With a share of q slots in a
-period of Q, its block j (from 0) is released at slot floor(j Q / q) and due by slot
-ceil((j + 1) Q / q); earliest deadline first among the released fills every slot, meets
-every deadline, and so keeps each source within less than one block of its weight at
-every slot.  The schedule repeats after Q slots, so one period is computed on the driver
-(Q rows at most) and block b of a source stands in period b div q.  A source that has run
-out leaves its slots idle, the others keep theirs: each document is placed exactly once.
-
-Null is a source of its own. Sources without a given weight get one slot in a period.
+A source's documents, in doc_id order, are cut into blocks.  With a weight w, its part of
+all weights, its block j (from 0) is released at slot floor(j / w) and due by slot
+ceil((j + 1) / w); earliest deadline first among the released fills the slots, meets every
+deadline, and so keeps each source within less than one block of its weight at every slot
+until it has run out, however long the corpus.  Weights are whole numbers in the exact
+ratio of the floats given, so nothing is rounded and nothing repeats.  One task walks
+through the blocks of the whole corpus and writes the schedule as a table, a row for each
+block; it holds a few numbers for each source.  A source that has run out leaves its slots
+to blocks already released, or idle: each document is placed exactly once.
+
+Null is a source of its own. Sources without a given weight get
+one slot in ``period`` each, taken off the largest weights.
 Equal doc_ids of one source stand together, in the order of their whole rows' hash; null
 doc_ids come first. Repeated rows are placed each. No rows: no slots. Other columns are
 not read by ``schedule``; ``interleave`` keeps all columns as they are.
@@ -17,7 +20,12 @@ not read by ``schedule``; ``interleave`` keeps all columns as they are.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import batched
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +35,7 @@ MOST_SOURCES = 100_000
 
 
 def shares(weights: dict, period: int) -> dict:
-    """Whole slots of a period for each source, one at least, that add up to it: largest remainders first."""
+    """Whole slots of one period for each source, one at least, that add up to it: largest remainders first. ``schedule`` does not round so."""
     total = float(sum(weights.values()))
     if total <= 0 or min(weights.values()) < 0:
         raise ValueError("weights must be positive")
@@ -42,24 +50,64 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def one_period(slots: dict) -> list[tuple[object, int]]:
-    """(source, its block's number) in each slot of a period, earliest deadline first."""
-    period = sum(slots.values())
-    waiting = [(0, str(n), n, 0) for n in slots]  # by release
+def exact_weights(weights: dict, period: int) -> dict:
+    """Whole numbers in the exact ratio of ``weights``; those of zero get one in ``period``, which caps the largest others."""
+    parts = {n: Fraction(w) for n, w in weights.items()}
+    if not parts or min(parts.values()) < 0 or not (total := sum(parts.values())):
+        raise ValueError("weights must be positive")
+    if none := [n for n, w in parts.items() if not w]:
+        given = sorted((w / total for w in parts.values() if w), reverse=True)
+        cap, above = given[0], Fraction(-len(none), period)
+        for k, w in enumerate(given, 1):
+            above += w
+            cap = above / k  # the k largest share what is left of their sum
+            if k == len(given) or cap >= given[k]:
+                break
+        if cap <= 0:
+            raise ValueError("too short a period")
+        parts = {n: min(w / total, cap) if w else Fraction(1, period) for n, w in parts.items()}
+    unit = lcm(*{w.denominator for w in parts.values()})
+    return {n: int(w * unit) for n, w in parts.items()}
+
+
+def in_slots(weights: dict, blocks: dict) -> Iterator[tuple[object, int, int]]:
+    """(source, its block's number, slot) of all blocks in the order of slots, earliest deadline first; ``weights`` are whole numbers."""
+    total = sum(weights.values())
+    waiting = [(0, str(n), n, 0) for n in weights if blocks[n]]  # by release
     heapq.heapify(waiting)
     ready: list = []
-    out = []
-    for t in range(period):
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])  # idle until then
         while waiting and waiting[0][0] <= t:
             _, text, n, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[n]), text, n, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[n]), text, n, j))
         deadline, text, n, j = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
-        out.append((n, j))
-        if j + 1 < slots[n]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[n], text, n, j + 1))
-    return out
+        yield n, j, t
+        if j + 1 < blocks[n]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[n], text, n, j + 1))
+        t += 1
+
+
+def one_period(slots: dict) -> list[tuple[object, int]]:
+    """(source, its block's number) in each slot of a period of whole slots."""
+    return [(n, j) for n, j, _ in in_slots(slots, slots)]
+
+
+_SCHEDULE = pa.schema([("source_key", pa.string()), ("block", pa.int64()), ("slot", pa.int64())])
+
+
+def _schedule(weights: dict, blocks: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for rows in batched(in_slots(weights, blocks), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEDULE.types)], schema=_SCHEDULE)
+
+    return run
 
 
 def _key(column: str = "source"):
@@ -97,22 +145,20 @@ def _placed(rows: DataFrame, weights: dict | None, block_docs: int, period: int,
         given = {"" if n is None else f"={n}": w for n, w in weights.items() if w > 0}
         wanted = {n: given.get(n, 0.0) for n in counts}
         wanted = wanted if any(wanted.values()) else dict.fromkeys(counts, 1.0)
-    period = max(period, 8 * len(counts))
-    slots = shares(wanted, period)
-    table = [(n, j, slots[n], t) for t, (n, j) in enumerate(one_period(slots))]
-    schedule = F.broadcast(spark.createDataFrame(table, "source_key string, turn long, share long, at long"))  # ``period`` rows
-    share = F.broadcast(spark.createDataFrame(list(slots.items()), "source_key string, q long"))
-    ranked = _ranked(rows).join(share, "source_key")
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("turn", F.col("block") % F.col("q"))
-    placed = ranked.join(schedule, ["source_key", "turn"])
-    return placed.withColumn("slot", F.floor(F.col("block") / F.col("q")) * period + F.col("at")).withColumn("position", (F.col("rank") % block_docs).cast("long")).drop("rank", "q", "turn", "share", "at")
+    exact = exact_weights(wanted, max(period, 8 * len(counts)))
+    blocks = {n: -(-c // block_docs) for n, c in counts.items()}
+    table = spark.range(0, 1, 1, 1).mapInArrow(_schedule(exact, blocks), "source_key string, block long, slot long")
+    ranked = _ranked(rows).withColumn("block", F.floor(F.col("rank") / block_docs))
+    # shuffled at every size alike: both sides grow with the corpus
+    placed = ranked.join(table.hint("merge"), ["source_key", "block"])
+    return placed.withColumn("position", (F.col("rank") % block_docs).cast("long")).drop("rank")
 
 
 def schedule(docs: DataFrame, weights: dict | None = None, block_docs: int = 32, period: int = 4096, temperature: float = 0.7) -> DataFrame:
     """doc_id, source, block, slot, position: (slot, position) is the order of the mixture.
 
     ``weights``: target weights by source; without them the source sizes to the power of
-    ``temperature``. Weights count in whole slots of ``period``.
+    ``temperature``. ``period``: in so many slots a source without a given weight has one.
     """
     rows = docs.select(_key(), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("tie", F.lit(0))
     return _placed(rows, weights, block_docs, period, temperature).select("doc_id", "source", "block", "slot", "position")

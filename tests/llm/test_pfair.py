@@ -67,3 +67,38 @@ def test_interleave_writes_the_mixture(spark, tmp_path):
 def test_no_rows(spark):
     assert pfair.schedule(frame(spark, [])).count() == 0
     assert pfair.interleave(frame(spark, [])).count() == 0
+
+
+def drift(got, weights):
+    """The largest distance from the unrounded weight, in blocks, before or after a block of a source that lasts."""
+    total, last = sum(weights.values()), Counter()
+    for r in got:
+        last[r.source] = max(last[r.source], r.block)
+    until = min(r.slot for r in got if r.block == last[r.source])  # all sources last so long
+    return max(max(abs(r.block + 1 - weights[r.source] / total * (r.slot + 1)), abs(r.block - weights[r.source] / total * r.slot)) for r in got if r.slot < until)
+
+
+def test_no_drift_over_many_periods(spark):
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    data = [(i, "x", s) for i, s in enumerate("a" * 1500 + "b" * 900 + "c" * 600)]
+    got = pfair.schedule(frame(spark, data), weights=weights, block_docs=1, period=32).collect()  # 94 periods
+    assert len({r.slot for r in got}) == len(data) and drift(got, weights) < 1
+    data = [(i, "x", f"s{i % 20}") for i in range(6000)]
+    got = pfair.schedule(frame(spark, data), block_docs=1, period=170).collect()  # 8.5 slots each, 35 periods
+    assert len({r.slot for r in got}) == len(data) and drift(got, {f"s{k}": 1 for k in range(20)}) < 1
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.floats(0.01, 10), min_size=1, max_size=8), st.integers(0, 3))
+def test_exact_weights(weights, without):
+    named = dict(enumerate([*weights, *[0.0] * without]))
+    exact = pfair.exact_weights(named, 100)
+    total = sum(exact.values())
+    assert all(exact[n] * 100 == total for n, w in named.items() if not w)
+    if not without:
+        assert all(exact[0] * pfair.Fraction(w) == exact[n] * pfair.Fraction(weights[0]) for n, w in named.items())
+    got = Counter()
+    for n, j, t in pfair.in_slots(exact, dict.fromkeys(exact, 50)):
+        assert got[n] == j and j * total // exact[n] <= t < -(-(j + 1) * total // exact[n])
+        got[n] += 1
+    assert got == dict.fromkeys(exact, 50)
