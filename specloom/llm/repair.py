@@ -3,7 +3,7 @@
 ``write_shards`` encodes texts and writes shards: a Parquet table with one row for each
 shard.  A shard holds the documents' ids after Re-Pair: the pairs of neighbouring
 symbols that occur most often are replaced by new symbols (nonterminals), round after
-round, until no pair is frequent.  Stored are the rules, each rule's expansion length,
+round, until no pair has 24 occurrences in the shard.  Stored are the rules, each rule's expansion length,
 the packed symbols, and where each document begins, so a document, or a run of its ids,
 is decoded without the rest.  ``read_documents`` decodes all; ``decode_range`` a part.
 
@@ -36,8 +36,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
 
     In each round the ``per_round`` most frequent pairs with ``least`` occurrences or more
     get a nonterminal each; of overlapping occurrences that of the more frequent pair is
-    replaced, in a run of one pair the first. Returns symbols, each document's end in
-    them, the rules (n, 2) and the number of ids each rule stands for.
+    replaced, in a run of one pair the first. All pairs are counted ``rounds`` times; from
+    the last of these counts on ``_settle`` goes on, by the places that change, until no
+    pair has ``least`` occurrences. Returns symbols, each document's end in them, the
+    rules (n, 2) and the number of ids each rule stands for.
     """
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
@@ -45,7 +47,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
     rules: list[np.ndarray] = []
     lengths = [np.ones(vocab, np.int64)]
     n_rules = 0
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(s) < 2:
             break
         key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
@@ -54,6 +56,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
         at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.append(at, len(ordered)))
         often = np.flatnonzero(count >= least)
+        if turn == rounds - 1:
+            s, last = _settle(s, last, _places(key, inner, ordered[at[often]]), vocab, rules, lengths, per_round, least)
+            break
         often = often[np.argsort(-count[often], kind="stable")][: min(per_round, (1 << 31) - vocab - n_rules)]
         if not len(often):
             break
@@ -84,6 +89,67 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per
     return s, np.flatnonzero(last) + 1, all_rules, np.concatenate(lengths)[vocab:]
 
 
+def _places(key: np.ndarray, inner: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where ``key`` is one of the ascending ``pairs``."""
+    mark = np.zeros(1 << 16, bool)
+    mark[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)] = True
+    at = np.flatnonzero(mark[(key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)] & inner)
+    return at[pairs[np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)] == key[at]] if len(pairs) else at[:0]
+
+
+def _settle(s: np.ndarray, last: np.ndarray, at: np.ndarray, vocab: int, rules: list, lengths: list, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds until no pair has ``least`` occurrences; ``at``: the places of all pairs that have, ascending.
+
+    A pair without a new symbol only loses occurrences, and one with a new symbol stands
+    beside a replacement, so no other place is looked at again. Every other pair of a run
+    of one pair is replaced. Appends to ``rules`` and ``lengths``.
+    """
+    n = len(s)
+    s, last = np.append(s, np.uint32(0)), np.append(last, True)  # place n stands for both ends
+    after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+    before[0] = n
+    live = np.ones(n + 1, bool)
+    none = np.iinfo(np.int32).max
+    rank_at = np.full(n + 1, none, np.int32)
+    n_rules = sum(map(len, rules))
+    known = np.concatenate(lengths)
+    while True:
+        key = s[at].astype(np.uint64) << np.uint64(32) | s[after[at]]
+        pair, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        at, which = at[count[which] >= least], which[count[which] >= least]
+        if not len(at):
+            break
+        often = np.flatnonzero(count >= least)
+        often = often[np.argsort(-count[often], kind="stable")][: min(per_round, (1 << 31) - vocab - n_rules)]
+        if not len(often):
+            break  # all symbols are given
+        ranks = np.full(len(pair), none, np.int32)
+        ranks[often] = np.arange(len(often), dtype=np.int32)
+        rank = rank_at[at] = ranks[which]
+        left = rank_at[before[at]]
+        step = np.arange(len(at))
+        odd = (step - np.maximum.accumulate(np.where(rank == left, 0, step))) & 1
+        take = (rank < none) & (rank <= left) & (rank <= rank_at[after[at]]) & (odd == 0)
+        rank_at[at] = none
+        used, rule = np.unique(rank[take], return_inverse=True)
+        here = at[take]
+        gone = after[here]
+        beyond = after[gone]
+        s[here] = (vocab + n_rules + rule).astype(np.uint32)
+        last[here] = last[gone]
+        live[gone] = False
+        after[here], before[beyond] = beyond, here
+        new = pair[often[used]]
+        new = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        rules.append(new)
+        lengths.append(known[new[:, 0]] + known[new[:, 1]])
+        known = np.concatenate([known, lengths[-1]])
+        n_rules += len(new)
+        at = np.union1d(at[live[at]], np.concatenate([here, before[here]]))
+        at = at[~last[at]]
+    return s[live][:-1], last[live][:-1]
+
+
 def _unroll(symbols: np.ndarray, vocab: int, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for: all nonterminals are replaced at once, level by level."""
     s = symbols.astype(np.uint32)

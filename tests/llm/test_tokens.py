@@ -54,6 +54,21 @@ def test_grammar_round_trip_and_random_access():
         assert repair.expand(symbols[a:b], 12, rules).tolist() == ids[x:y].tolist()
 
 
+@pytest.mark.parametrize("per_round", [2048, 7])
+def test_grammar_goes_on_until_no_pair_is_frequent(per_round):
+    r = np.random.default_rng(1)
+    passage = r.integers(0, 900, 400)
+    parts = [p for _ in range(60) for p in (passage, r.integers(0, 900, 30), np.full(int(r.integers(1, 90)), 5), r.integers(0, 12, 50))]
+    ids, ends = np.concatenate(parts).astype(np.uint32), np.cumsum([sum(map(len, parts[i : i + 8])) for i in range(0, len(parts), 8)])
+    symbols, cut, rules, sizes = repair.compress(ids, ends, 900, per_round=per_round)
+    assert repair.expand(symbols, 900, rules).tolist() == repair.expand(symbols, 900, rules, sizes).tolist() == ids.tolist()
+    for a, b, x, y in zip(np.append(0, cut), cut, np.append(0, ends), ends):
+        assert repair.expand(symbols[a:b], 900, rules).tolist() == ids[x:y].tolist()
+    pairs = [p for a, b in zip(np.append(0, cut), cut) for p in zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist())]
+    assert max(pairs.count(p) for p in set(pairs)) < 24
+    assert sizes.max() >= 400  # the whole passage is one symbol
+
+
 def test_shards_read_back(spark, plain):
     rows = [(i * 7 % 150, t) for i, t in enumerate(texts(9, 150) + ODD)] + [(None, "null id"), (None, "null id"), (3, "again")]
     shards = repair.write_shards(frame(spark, rows), definition(PATH), shard_ids=2000)
