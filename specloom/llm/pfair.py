@@ -7,7 +7,7 @@ deadline, and so keeps each source within less than one block of its weight at e
 until it has run out, however long the corpus.  Weights are whole numbers in the exact
 ratio of the floats given, so nothing is rounded and nothing repeats.  One task walks
 through the blocks of the whole corpus and writes the schedule as a table, a row for each
-block; it holds a few numbers for each source.  A source that has run out leaves its slots
+block; it holds a few numbers for each source, whose counts it reads as a table.  A source that has run out leaves its slots
 to blocks already released, or idle: each document is placed exactly once.
 
 Null is a source of its own. Sources without a given weight get
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from specloom.llm._common import from_files, materialise
 
-MOST_SOURCES = 100_000
-
 
 def shares(weights: dict, period: int) -> dict:
     """Whole slots of one period for each source, one at least, that add up to it: largest remainders first. ``schedule`` does not round so."""
@@ -100,12 +98,20 @@ def one_period(slots: dict) -> list[tuple[object, int]]:
 _SCHEDULE = pa.schema([("source_key", pa.string()), ("block", pa.int64()), ("slot", pa.int64())])
 
 
-def _schedule(weights: dict, blocks: dict):
+def _schedule(weights: dict | None, block_docs: int, period: int, temperature: float):
+    """From (source_key, count) of all sources, in one task, the schedule's rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for rows in batched(in_slots(weights, blocks), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEDULE.types)], schema=_SCHEDULE)
+        counts = {n: c for batch in batches for n, c in zip(*(batch.column(k).to_pylist() for k in range(2)))}
+        if not counts:
+            return
+        wanted = target_weights(counts, temperature)
+        if weights is not None:
+            wanted = {n: weights.get(n, 0.0) for n in counts}
+            wanted = wanted if any(wanted.values()) else dict.fromkeys(counts, 1.0)
+        exact = exact_weights(wanted, max(period, 8 * len(counts)))
+        for rows in batched(in_slots(exact, {n: -(-c // block_docs) for n, c in counts.items()}), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEDULE.types)], schema=_SCHEDULE)
 
     return run
 
@@ -132,22 +138,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def _placed(rows: DataFrame, weights: dict | None, block_docs: int, period: int, temperature: float) -> DataFrame:
     """``rows`` (source_key, doc_id, tie and more) with block, slot and position."""
-    spark = rows.sparkSession
-    counted = rows.groupBy("source_key").count().limit(MOST_SOURCES + 1).collect()
-    if len(counted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    counts = {r.source_key: r["count"] for r in counted}
-    if not counts:
-        empty = F.lit(None).cast("long")
-        return rows.withColumn("block", empty).withColumn("slot", empty).withColumn("position", empty)
-    wanted = target_weights(counts, temperature)
-    if weights is not None:
-        given = {"" if n is None else f"={n}": w for n, w in weights.items() if w > 0}
-        wanted = {n: given.get(n, 0.0) for n in counts}
-        wanted = wanted if any(wanted.values()) else dict.fromkeys(counts, 1.0)
-    exact = exact_weights(wanted, max(period, 8 * len(counts)))
-    blocks = {n: -(-c // block_docs) for n, c in counts.items()}
-    table = spark.range(0, 1, 1, 1).mapInArrow(_schedule(exact, blocks), "source_key string, block long, slot long")
+    given = weights if weights is None else {"" if n is None else f"={n}": w for n, w in weights.items() if w > 0}
+    counts = rows.groupBy("source_key").count().repartition(1)
+    table = counts.mapInArrow(_schedule(given, block_docs, period, temperature), "source_key string, block long, slot long")
     ranked = _ranked(rows).withColumn("block", F.floor(F.col("rank") / block_docs))
     # shuffled at every size alike: both sides grow with the corpus
     placed = ranked.join(table.hint("merge"), ["source_key", "block"])

@@ -102,3 +102,9 @@ def test_exact_weights(weights, without):
         assert got[n] == j and j * total // exact[n] <= t < -(-(j + 1) * total // exact[n])
         got[n] += 1
     assert got == dict.fromkeys(exact, 50)
+
+
+def test_more_sources_than_a_hundred_thousand(spark):
+    docs = spark.range(100_050).selectExpr("id as doc_id", "concat('t', id) as text", "concat('s', id) as source")
+    got = pfair.schedule(docs.unionByName(docs.limit(40)))
+    assert got.count() == 100_090 and got.select("slot", "position").distinct().count() == 100_090
