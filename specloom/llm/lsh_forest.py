@@ -2,12 +2,13 @@
 
 Documents with one text are one node; its members are not compared again.  A node's
 shingles are runs of ``n`` words (all words of a shorter text).  Its signature has
-``trees * depth`` min-hashes of 16 bits, ``depth`` for each tree of the forest, and each
-tree is a trie of the nodes by their runs of hashes.  The prefixes that must match are
-shortened hash by hash, from ``depth``, until two nodes of exactly the threshold's
-similarity meet in some tree with the target recall: 1 - (1 - s ** k) ** trees.
+``trees * depth`` min-hashes of 16 bits, ``depth`` for each tree. The prefix of each tree
+that must match is as long, up to ``depth``, as finds two nodes of exactly the threshold's
+similarity in some tree with the target recall: 1 - (1 - s ** k) ** trees. It is worked out
+before any data is read, and each prefix is one hash: flat banding, no sorted tries. All
+pairs are wanted at one threshold, and nodes that share a longer prefix share this one.
 
-Nodes that meet are candidates.  A trie node's members are tied to the least of them, so
+Nodes that meet are candidates.  A prefix's members are tied to the least of them, so
 a hot prefix costs a row for each member, never a pair; candidate groups are the
 components of these ties.  A group is verified whole, exactly, on its shingle sets: in
 blocks of nodes, block against block, each pair of blocks a task of its own.  A block pair
