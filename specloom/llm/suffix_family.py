@@ -11,8 +11,9 @@ suffixes in the order of these symbols.
 
 ``Family`` keeps the arrays of one key range: a new batch is merge-scanned against the
 existing levels for long matches (a shared core), joins as a level of its own, and levels
-of equal size merge, so n batches leave at most about log2(n) arrays.  What the family
-tells of a suffix:
+of equal size merge, so n batches leave at most about log2(n) arrays.  The batches are
+the chunks of one call: the family is rebuilt in memory for each call, is not stored, and
+takes no later batch.  What it tells of a suffix:
 
 * core and zone stand elsewhere too: all strings with this anchor are repeats;
 * the core does, the zone does not: at an end of a repeat, some strings may be repeats;
