@@ -26,7 +26,8 @@ _ENDS_SPACE = {n: np.array(sorted(int.from_bytes(c.encode(), "big") for c in [*m
 class Encoder:
     """``encode(texts)``: the flat ids of all texts and the number of ids of each.
 
-    Special-token strings inside a text are ordinary text. Null is the empty text.
+    Special-token strings inside a text are ordinary text, unlike in the library's plain
+    ``encode(text, add_special_tokens=False)``, which makes them one id. Null is the empty text.
     ``cache``: distinct pieces kept between calls; beyond it the cache starts anew.
     """
 
