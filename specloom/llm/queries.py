@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specloom.llm import oracles
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -101,4 +103,4 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op6_pfair, op7_ppm, op8_automaton, op9_forest, op10_suffix_family, pipeline)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_cascade": oracles.CASCADE, "op4_chat": oracles.CHAT}
