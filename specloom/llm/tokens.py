@@ -1,16 +1,18 @@
 """Exact encoding of many texts with a ``tokenizers`` file, each distinct piece once.
 
 A byte-level pre-tokenizer never joins a character that is no white space with white
-space that follows it, so a text may be cut before any single space that follows such
-a character, and the pieces' ids put together are the text's ids.  A corpus repeats
-most of its pieces: each worker keeps the ids of those it has met, under a 64-bit hash,
-and compares length and first eight bytes.  Texts with white space before a space are
-encoded whole.
+space that follows it, nor a letter with a mark or digit that follows it (the apostrophe
+aside), so a text may be cut before any single space or line break that follows such a
+character, after such a line break, and between a letter and an ASCII mark; the pieces'
+ids put together are the text's ids.  A corpus repeats most of its pieces: each task
+keeps the ids of those it has met, under a 64-bit hash, and compares length and first
+eight bytes.  Texts with white space before a space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,28 @@ WIDE_SPACES = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u20
 _ENDS_SPACE = {n: np.array(sorted(int.from_bytes(c.encode(), "big") for c in [*map(chr, SPACES), *WIDE_SPACES, *"\x1c\x1d\x1e\x1f"] if len(c.encode()) == n)) for n in (1, 2, 3)}
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_GRAPHIC = np.zeros(256, bool)
+_GRAPHIC[33:127] = True
+_MARK = _GRAPHIC & ~_LETTER
+_MARK[39] = False  # the apostrophe begins contractions
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut besides its spaces: True at the first byte of the second piece."""
+    out = np.zeros(len(data), bool)
+    if len(data) < 3:
+        return out
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # the last byte of a Latin-1 letter
+    out[1:] = letter[:-1] & _MARK[data[1:]]
+    line = np.flatnonzero(data[1:-1] == 10) + 1
+    line = line[(letter[line - 1] | _GRAPHIC[data[line - 1]]) & (_GRAPHIC[data[line + 1]] | (data[line + 1] == 0xC3))]
+    out[line] = out[line + 1] = True
+    return out
+
+
 class Encoder:
     """``encode(texts)``: the flat ids of all texts and the number of ids of each.
 
@@ -51,21 +75,21 @@ class Encoder:
         self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _words(self, words: list[str]) -> list[list[int]]:
         """Ids of a space or none and letters: one pre-token, so the model alone suffices."""
         tokenize = self.tokenizer.model.tokenize
         return [[t.id for t in tokenize(w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(self.as_char))] for w in words]
 
-    def _joined(self, pieces: list[str], group: int = 64) -> list[np.ndarray]:
+    def _joined(self, pieces: list[str], group: int = 64) -> list[list[int]]:
         """Ids of pieces that begin with a space and end with no white space: many to a call, cut by the bytes they stand for."""
         if not pieces:
             return []
-        ids = np.concatenate(self._whole(["".join(pieces[i : i + group]) for i in range(0, len(pieces), group)]))
-        cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-        return np.split(ids, cut[:-1])
+        ids = list(chain.from_iterable(self._whole(["".join(pieces[i : i + group]) for i in range(0, len(pieces), group)])))
+        cut = (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1).tolist()
+        return [ids[a:b] for a, b in zip([0, *cut], cut)]
 
     def _learn(self, key: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
         kind = np.fromiter((0 if p[p[0] == " " :].isalpha() else 1 if p[0] == " " and not p[-1].isspace() else 2 for p in pieces), np.int8, len(pieces))
@@ -78,7 +102,7 @@ class Encoder:
         total = int(count.sum())
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(total, self.used), np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for f in found for i in f), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         at = np.searchsorted(self.key, key)
         start = self.used + np.cumsum(count, dtype=np.int64) - count
         self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
@@ -93,6 +117,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         mark = data == 32
         spaces = np.flatnonzero(mark)
+        mark |= _cuts(data)
         mark[offsets[:-1][np.diff(offsets) > 0]] = True
         cut = np.flatnonzero(mark)
         doc = np.searchsorted(offsets, cut, side="right") - 1
@@ -135,7 +160,7 @@ class Encoder:
         counts = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
         if odd.any():
             rows = np.flatnonzero(odd)
-            whole = self._whole(column.take(pa.array(rows)).to_pylist())
+            whole = [np.array(w, np.uint32) for w in self._whole(column.take(pa.array(rows)).to_pylist())]
             cuts = np.cumsum(counts)[rows]
             ids = np.insert(ids, np.repeat(cuts, [len(w) for w in whole]), np.concatenate(whole))
             counts[rows] = [len(w) for w in whole]
