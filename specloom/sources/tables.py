@@ -28,10 +28,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def remove(jvm=spark._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()):
+    def remove():
         try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may have gone first
             pass
 
@@ -39,8 +38,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends here."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._table_path)
