@@ -15,19 +15,53 @@ Nothing is collected on the driver, and a lost task is computed again from its i
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import time
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.sources.tables import materialise, new_path, shared_dir
+from specloom.sources.tables import discard, materialise, new_path, shared_dir
 
-__all__ = ["materialise", "new_path", "shared_dir"]
+__all__ = ["discard", "materialise", "new_path", "shared_dir"]
 
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+_tidied = 0.0
+
+
+def tidy(every: float = 0.0) -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and what they hold counts against the executor."""
+    global _tidied
+    if time.monotonic() - _tidied < every:
+        return
+    _tidied = time.monotonic()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidied(run):
+    """A generator over record batches that tidies up when its task ends."""
+
+    @wraps(run)
+    def tidying(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidying
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's estimate of the size, None if it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -56,7 +90,8 @@ class Layout:
         rows = max(1, docs.count())
         size = plan_bytes(slim) or rows * 4096
         self.rows_per_chunk = max(1, min(65_536, int(chunk_bytes / max(1.0, 1.7 * size / rows))))
-        self.parts = max(8, min(1 << 17, size // part_bytes))
+        # a chunk's rows are never more than its keys, so any number of parts leaves the exchange linear in the input
+        self.parts = max(8, size // part_bytes)
         place = F.floor(F.col("_metadata.row_index") / F.lit(self.rows_per_chunk))
         self.docs = docs.select(F.xxhash64(F.col("_metadata.file_path"), place).alias("chunk"), *(c.alias(n) for n, c in columns.items()))
 
@@ -227,9 +262,10 @@ def unpack_signed(blob: bytes) -> np.ndarray:
 
 def split_parts(keys: np.ndarray, parts: int, bits: int = 64) -> list[tuple[int, slice]]:
     """For ascending keys below 2**bits: (part, slice) of each part that has keys; parts are key ranges."""
-    edges = [(i << bits) // parts for i in range(1, parts)]
-    cuts = [0, *np.searchsorted(keys, np.array(edges, dtype=np.uint64)).tolist(), len(keys)]
-    return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    high = keys >> np.uint64(bits - 32) if bits > 32 else keys << np.uint64(32 - bits)
+    part = (high * np.uint64(parts)) >> np.uint64(32)
+    at = group_starts(part)
+    return [(i, slice(a, b)) for i, a, b in zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)])]
 
 
 def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -249,6 +285,17 @@ def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == wanted
 
 
+def fixed(column, width: int) -> np.ndarray:
+    """A binary column whose values all have ``width`` bytes, as a matrix of bytes."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], a.type)
+    if not len(a):
+        return np.zeros((0, width), np.uint8)
+    ends = np.frombuffer(a.buffers()[1], np.int64 if pa.types.is_large_binary(a.type) else np.int32, count=len(a) + 1 + a.offset)[a.offset :]
+    return np.frombuffer(a.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(a), width)
+
+
 def blobs(table: pa.Table, column: str) -> list[bytes]:
     return table.column(column).to_pylist()
 

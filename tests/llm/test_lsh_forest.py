@@ -55,7 +55,7 @@ def test_equals_brute_force(spark):
     want = brute(rows)
     assert max(r[2] for r in want) > 8
     assert result(lsh_forest.join(frame(spark, rows))) == want
-    assert result(lsh_forest.join(frame(spark, rows), block=4)) == want  # groups cut into many blocks
+    assert result(lsh_forest.join(frame(spark, rows), block=4, shingles_in_block=600)) == want  # groups cut into many blocks
 
 
 def test_one_row_of_each_class_stays(spark):
@@ -76,6 +76,43 @@ def test_prefixes_shorten_until_the_target_recall():
         assert 1 - (1 - 0.8**k) ** 32 >= target > 1 - (1 - 0.8 ** (k + 1)) ** 32 or k == 8
 
 
+def test_tries_connect_what_shares_a_prefix(spark):
+    """Components of the ties of each depth, over several ranges with one hot prefix, against plain grouping."""
+    r = np.random.default_rng(3)
+    labels = r.integers(0, 3, size=(300, 2, 4)).astype("<u2")
+    labels[:120, 0, :3] = 7
+    rows = [(bytes([k % 256, k // 256]) * 8, labels[k].tobytes()) for k in range(300)]
+    nodes = spark.createDataFrame([*rows, (b"z" * 16, None)], "node binary, signature binary")
+    ties = lsh_forest.forest_ties(nodes, 2, 4, 2).collect()
+    assert len(ties) <= 2 * 300
+    for depth in (4, 3, 2):
+        root = {n: n for n, _ in rows}
+
+        def of(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for t in ties:
+            if t.depth >= depth:
+                root[of(bytes(t.u))] = of(bytes(t.v))
+        want = {n: n for n, _ in rows}
+        mine, root = {n: of(n) for n, _ in rows}, want
+        for tree in range(2):
+            first = {}
+            for k, (n, _) in enumerate(rows):
+                root[of(n)] = of(first.setdefault(labels[k, tree, :depth].tobytes(), n))
+        theirs = {n: of(n) for n, _ in rows}
+        assert len(set(mine.values())) == len(set(theirs.values())) == len(set(zip(mine.values(), theirs.values())))
+
+
+def test_share_found_decides_on_the_depth():
+    assert lsh_forest.seen_share({100: 50}, 32, 8) == 1
+    assert 0.997 < lsh_forest.seen_share({80: 10}, 32, 8) < 0.998
+    assert lsh_forest.seen_share({80: 10}, 32, 6) > 0.9999 > lsh_forest.seen_share({80: 10}, 32, 7)
+    assert lsh_forest.seen_share({}, 32, 8) == 0  # nothing is known: go on
+
+
 def test_min_hashes_estimate_similarity():
     r = np.random.default_rng(1)
     both, a, b = (r.integers(1 << 63, size=n, dtype=np.uint64) for n in (300, 50, 50))
@@ -84,9 +121,9 @@ def test_min_hashes_estimate_similarity():
 
 
 def test_components(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 170)]
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 170), (303, 301), (303, 302), (304, 302)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 150: 150, 170: 150, 200: 150}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 150: 150, 170: 150, 200: 150, 301: 301, 302: 301, 303: 301, 304: 301}
 
 
 def test_empty_table(spark):
