@@ -99,7 +99,7 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 400-byte strings that start twice, by a logarithmic family of suffix arrays."""
     from specloom.llm import suffix_family
 
-    return suffix_family.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_family.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_seen")
 
 
 QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op6_pfair, op7_ppm, op8_automaton, op9_forest, op10_suffix_family, pipeline)}

@@ -1,26 +1,28 @@
-"""Suffix-array dedup over bytes with a logarithmic family of indexes.
-
-A string of ``length`` bytes that starts in two places is found by a sparse suffix array.
-Each start i has an anchor m(i): of the ``reach`` positions from i on, the one with the
-least hash of its 8 bytes.  It depends on bytes inside the string alone, so equal strings
-have their anchors at the same distance.  Only the suffixes at anchors are indexed, about
-2 of every ``reach + 1``.  A suffix is written in two symbols, both 64-bit fingerprints:
-the *core*, the bytes from the anchor on that every string with this anchor contains, and
-the *zone*, all bytes of all strings with this anchor.  A batch's suffix array is its
-suffixes in the order of these symbols.
-
-``Family`` keeps the arrays of one key range: a new batch is merge-scanned against the
-existing levels for long matches (a shared core), joins as a level of its own, and levels
-of equal size merge, so n batches leave at most about log2(n) arrays.  The batches are
-the chunks of one call: the family is rebuilt in memory for each call, is not stored, and
-takes no later batch.  What it tells of a suffix:
-
-* core and zone stand elsewhere too: all strings with this anchor are repeats;
-* the core does, the zone does not: at an end of a repeat, some strings may be repeats;
-  these starts alone are compared by 64-bit hashes of their ``length`` bytes.
-
-Suffixes carry fingerprints, not text: at 100 TB the sampled suffixes' text would be
-several times the corpus.
+"""Suffix-array dedup over bytes with a logarithmic family of stored indexes.
+
+A string of ``length`` bytes that starts in two places is found by sparse suffix arrays.
+Of each ``reach`` neighbouring positions that with the least hash of its 8 bytes is an
+*anchor*; it depends on these bytes alone, so equal strings have theirs at the same distance.
+Suffixes at anchors are indexed, about 2 of every ``reach + 1``, in the order of their first
+``core`` bytes, which are stored.  An entry also has two fingerprints: the *tail*, of the bytes
+from the anchor on that every string with this anchor contains, and the *zone*, of all
+bytes of all strings with this anchor and where it stands in them.
+
+``SuffixIndex`` is a folder of levels.  A level is one suffix array, cut into parts by a hash of
+the first 32 bytes (equal cores are in one part, each part in byte order); a row of its table is a
+part.  ``add`` takes a batch of documents: each chunk's suffixes are sorted, and each part merges
+them with the stored levels' parts in one scan.  Where a core of the batch stands elsewhere, in the
+batch or in a level, both sides are told.  The batch then becomes a level; levels of as many batches
+merge, as in a binary counter, so n batches leave about log2(n) levels.  What is told of an entry:
+
+* SEEN: its core stands elsewhere too;
+* ALL: its core, tail and zone do, so all strings with this anchor are repeats;
+* TELL: core and tail stand before another zone, at an end of a repeat: some strings may be
+  repeats.  These alone are compared by 64-bit hashes of their ``length`` bytes, whole.
+
+An old entry is told once of each, by the scan that changes what is known of it: it keeps its
+first chunk, and more occurrences were told when they came.  Whatever the batches, the results
+are those of one batch.
 
 Rows: each input row gives one row; null and empty texts have no bytes. Strings shorter
 than ``length`` never match. Repeated rows match each other, whatever their doc_id, null
@@ -30,30 +32,48 @@ included. No rows: none. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm._common import BYTE_CODES, Layout, blobs, by_chunk, find, group_starts, materialise, mix, pack, planes, prefix_sums, run_hash, slices, split_parts, table, text_bytes, unpack, unplanes
+from specloom.llm._common import BYTE_CODES, Layout, blobs, by_chunk, find, group_starts, materialise, mix, new_path, pack, planes, powers, prefix_sums, run_hash, slices, split_parts, table, text_bytes, tidied, tidy, unpack, unplanes
+from specloom.sources.tables import delete
 
 POSITION_BITS = 28
-ALL, SPEAK, ASK = 1, 2, 3  # all strings repeat; the same, and tell the others of them; ask for each string
+SEEN, ALL, TELL = 1, 2, 4
+KEY_BYTES = 32
+NO_STRING = np.uint64(1 << 32)  # the tail of an anchor that no whole string has
+
+
+@dataclass(frozen=True)
+class Sampling:
+    """What is indexed. Any repeat of ``reach + core - 1`` bytes has an anchor whose core lies inside it."""
+
+    length: int = 400
+    reach: int = 200
+    core: int = 64
+
+    def __post_init__(self) -> None:
+        if not (8 <= self.core <= self.length - self.reach + 1 and self.reach >= 1):
+            raise ValueError("needs 8 <= core <= length - reach + 1")
 
 
 class Anchors:
-    """Starts of strings in a run of documents, grouped by their anchor."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, reach: int):
-        n = len(data)
-        last = np.repeat(offsets[1:] - length, np.diff(offsets))  # the last start in each byte's document
-        self.starts = np.flatnonzero(np.arange(n) <= last)
-        self.length, self.sums = length, prefix_sums(BYTE_CODES[data])
-        if not len(self.starts):
-            self.at = self.first = self.last = self.core = self.zone = np.zeros(0, np.uint64)
-            self.group = np.zeros(0, np.int64)
+    """Anchors of a run of documents, with the strings that have each."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, by: Sampling):
+        n, length, reach, core = len(data), by.length, by.reach, by.core
+        end = np.repeat(offsets[1:], np.diff(offsets))
+        windows = np.flatnonzero(np.arange(n) + (reach - 1 + core) <= end)
+        self.by, self.data, self.sums = by, data, prefix_sums(BYTE_CODES[data])
+        self.at = self.first = self.last = self.group = self.starts = np.zeros(0, np.int64)
+        self.zone = self.tail = np.zeros(0, np.uint64)
+        if not len(windows):
             return
         grams = np.ndarray((n - 7,), np.dtype("<u8"), np.ascontiguousarray(data).data, strides=(1,))
         low = np.uint64((1 << POSITION_BITS) - 1)
@@ -64,156 +84,302 @@ class Anchors:
         rows = padded.reshape(blocks, reach)
         after = np.minimum.accumulate(rows, axis=1).reshape(-1)
         before = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        anchor = (np.minimum(before[self.starts], after[self.starts + reach - 1]) & low).astype(np.int64)
-        new = group_starts(anchor)  # anchors of ascending starts ascend; a document's end parts equal ones never
+        anchor = (np.minimum(before[windows], after[windows + reach - 1]) & low).astype(np.int64)
+        new = group_starts(anchor)  # anchors of ascending windows ascend; those of two documents differ
         self.at = anchor[new]
-        self.first = self.starts[new]
-        self.last = self.starts[np.append(new[1:], len(anchor)) - 1]
-        self.group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(anchor))))
-        self.core = run_hash(self.sums, self.at, self.at + length - reach + 1)
-        self.zone = run_hash(self.sums, self.first, self.last + length) ^ mix((self.at - self.first).astype(np.uint64), 7)
+        group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(anchor))))
+        whole = windows + length <= end[windows]
+        self.starts, self.group = windows[whole], group[whole]  # strings, and the anchor of each
+        count = np.bincount(self.group, minlength=len(new))
+        self.first = self.starts[np.minimum(np.searchsorted(self.group, np.arange(len(new))), max(0, len(self.starts) - 1))] if len(self.starts) else np.zeros(len(new), np.int64)
+        self.last = self.first + count - 1  # the windows of an anchor are neighbours
+        some = count > 0
+        self.first, self.last = np.where(some, self.first, self.at), np.where(some, self.last, self.at - length)
+        self.tail = np.full(len(new), NO_STRING)
+        self.tail[some] = run_hash(self.sums, self.at[some], self.at[some] + length - reach + 1) >> np.uint64(40)
+        self.zone = run_hash(self.sums, self.at, self.at + core)
+        self.zone[some] = run_hash(self.sums, self.first[some], self.last[some] + length) ^ mix((self.at - self.first)[some].astype(np.uint64), 7)
+
+    def cores(self) -> np.ndarray:
+        return self.data[self.at[:, None] + np.arange(self.by.core)]
 
     def strings(self, of: np.ndarray) -> np.ndarray:
-        """Hashes of the strings at these starts (places in ``starts``)."""
+        """Hashes of the strings at these places in ``starts``."""
         at = self.starts[of]
-        return run_hash(self.sums, at, at + self.length)
-
-
-def suffix_array(core: np.ndarray, zone: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct suffixes in order, with how often each stands (2: twice or more)."""
-    order = np.lexsort((zone, core))
-    c, z, n = core[order], zone[order], count[order]
-    if not len(c):
-        return c, z, n
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (z[1:] != z[:-1])
-    at = np.flatnonzero(new)
-    return c[at], z[at], np.minimum(np.add.reduceat(n, at), 2)
-
-
-class Family:
-    """Suffix arrays of one key range, the sizes of which grow geometrically."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.matched: list[np.ndarray] = []
-
-    def add(self, batch: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Merge-scan a batch's array against all levels, then let it join them."""
-        if not len(batch[0]):
-            return
-        core = batch[0][group_starts(batch[0])]
-        inner = np.diff(np.append(group_starts(batch[0]), len(batch[0])))
-        own = np.maximum.reduceat(batch[2], group_starts(batch[0]))
-        self.matched.append(core[(inner > 1) | (own > 1)])  # long matches inside the batch
-        for level in self.levels:
-            _, there = find(level[0], core)
-            self.matched.append(core[there])
-        self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(suffix_array(*(np.concatenate(x) for x in zip(a, b))))
-
-    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(core, zone, count, alone) of suffixes whose core matched; alone: the core has this zone only."""
-        core = np.unique(np.concatenate(self.matched)) if self.matched else np.zeros(0, np.uint64)
-        merged = suffix_array(*(np.concatenate(x) for x in zip(*self.levels)))
-        _, wanted = find(core, merged[0])
-        c, z, n = (x[wanted] for x in merged)
-        at = group_starts(c)
-        size = np.diff(np.append(at, len(c)))
-        return c, z, n, np.repeat(size, size) == 1
-
-
-ROWS = "part int, chunk long, core binary, zone binary, count binary"
-_ROWS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("core", pa.binary()), ("zone", pa.binary()), ("count", pa.binary())])
-
-
-def _pieces(t: pa.Table, length: int, reach: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Anchors]]:
+        return run_hash(self.sums, at, at + self.by.length)
+
+
+@dataclass
+class Suffixes:
+    """Suffixes in byte order of their cores: (n, core) bytes, tail, zone, whether it stands twice or more, and a chunk that has it."""
+
+    core: np.ndarray
+    tail: np.ndarray
+    zone: np.ndarray
+    many: np.ndarray
+    chunk: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.zone)
+
+    def take(self, at) -> Suffixes:
+        return Suffixes(self.core[at], self.tail[at], self.zone[at], self.many[at], self.chunk[at])
+
+    @staticmethod
+    def joined(arrays: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(a, n) for a in arrays]) for n in ("core", "tail", "zone", "many", "chunk")))
+
+
+def suffix_order(s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """The order by core, tail and zone, and the number of each one's core in it. Sorted runs one after the other are merged."""
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.ascontiguousarray(s.core).view(f"S{s.core.shape[1]}").ravel()
+    order = np.argsort(text, kind="stable")
+    held = text[order]
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(held[1:] != held[:-1])])
+    order = np.lexsort((s.zone, s.tail, rank))
+    return order, rank[order]
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def distinct(s: Suffixes, order: np.ndarray, rank: np.ndarray) -> Suffixes:
+    """Each suffix once; the chunk is that of its first entry."""
+    t = s.take(order)
+    at = np.flatnonzero(_new(rank, t.tail, t.zone))
+    count = np.add.reduceat(1 + t.many.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    out = t.take(at)
+    out.many = count > 1
+    return out
+
+
+def merge_scan(batch: Suffixes, levels: list[Suffixes], merged: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Suffixes]:
+    """One scan of a batch (a run for each chunk) against the levels: (chunk, zone, flags) of what is newly
+    known, and the level that the batch and the last ``merged`` levels make up."""
+    s = Suffixes.joined([*levels, batch])
+    source = np.repeat(np.arange(len(levels) + 1), [*map(len, levels), len(batch)])
+    order, rank = suffix_order(s)
+    s, source = s.take(order), source[order]
+    weight = 1 + s.many.astype(np.int64)
+    n_cores = int(rank[-1]) + 1 if len(rank) else 0
+    new_class, new_group = _new(rank, s.tail, s.zone), _new(rank, s.tail)
+    cls, group = np.cumsum(new_class) - 1, np.cumsum(new_group) - 1
+    n_groups = int(group[-1]) + 1 if len(group) else 0
+    in_class = np.bincount(cls, weights=weight) if len(cls) else np.zeros(0)
+    in_core = np.bincount(rank, weights=weight, minlength=n_cores)
+    zones = np.bincount(group[new_class], minlength=n_groups)
+    touched = np.zeros(n_cores, bool)
+    touched[rank[source == len(levels)]] = True
+    flags = SEEN * (in_core[rank] > 1) + ALL * (in_class[cls] > 1) + TELL * (new_class & (zones[group] > 1))
+    flags[~touched[rank]] = 0
+    for k in range(len(levels)):  # what a level has told of itself is not told again
+        mine = np.flatnonzero(source == k)
+        own_core = np.bincount(rank[mine], weights=weight[mine], minlength=n_cores)[rank[mine]] > 1
+        own_zones = np.bincount(group[mine], minlength=n_groups)[group[mine]] > 1
+        flags[mine] &= ~(SEEN * own_core + ALL * s.many[mine] + TELL * own_zones)
+    told = np.flatnonzero(flags)
+    joins = np.flatnonzero(source >= len(levels) - merged)
+    level = distinct(s.take(joins), np.arange(len(joins)), rank[joins])
+    return s.chunk[told], s.zone[told], flags[told].astype(np.uint8), level
+
+
+_ROW = [("part", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("core", pa.binary()), ("tail", pa.binary()), ("zone", pa.binary()), ("many", pa.binary()), ("chunks", pa.binary()), ("held", pa.binary())]
+_ROWS = pa.schema(_ROW)
+ROWS = "part long, level int, n long, core binary, tail binary, zone binary, many binary, chunks binary, held binary"
+_TOLD = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("flags", pa.binary()), *_ROW])
+TOLD = "kind string, chunk long, flags binary, " + ROWS
+BATCH = 1 << 30  # as a level: later than all others
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(part: int, level: int, s: Suffixes) -> list:
+    chunks, held = np.unique(s.chunk, return_inverse=True)
+    core = _ZSTD.compress(np.ascontiguousarray(s.core).tobytes(), asbytes=True)
+    return [part, level, len(s), core, planes(s.tail), planes(s.zone), np.packbits(s.many).tobytes(), chunks.astype("<i8").tobytes(), planes(held.astype(np.uint64))]
+
+
+def _unpacked(row: dict, width: int) -> Suffixes:
+    n = row["n"]
+    core = np.frombuffer(_ZSTD.decompress(row["core"], n * width, asbytes=True), np.uint8).reshape(n, width)
+    many = np.unpackbits(np.frombuffer(row["many"], np.uint8))[:n].astype(bool)
+    return Suffixes(core, unplanes(row["tail"]), unplanes(row["zone"]), many, np.frombuffer(row["chunks"], "<i8")[unplanes(row["held"]).astype(np.int64)])
+
+
+def _parts(core: np.ndarray, bits: int) -> np.ndarray:
+    """The part of each suffix, by a hash of its first bytes."""
+    up, _ = powers(KEY_BYTES)
+    key = np.zeros(len(core), np.uint64)
+    for k in range(min(KEY_BYTES, core.shape[1])):
+        key += BYTE_CODES[core[:, k]] * up[k]
+    return (mix(key) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _dealt(s: Suffixes, bits: int, level: int) -> Iterator[list]:
+    """Rows of a suffix array cut into parts."""
+    part = _parts(s.core, bits)
+    order = np.argsort(part, kind="stable")
+    at = group_starts(part[order])
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+        yield _packed(int(part[order[a]]), level, s.take(order[a:b]))
+
+
+def _pieces(t: pa.Table, by: Sampling) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Anchors]]:
     for at, n in slices(t, "text"):
         piece = t.slice(at, n)
         data, offsets = text_bytes(piece.column("text"))
-        yield piece, data, offsets, Anchors(data, offsets, length, reach)
+        yield piece, data, offsets, Anchors(data, offsets, by)
 
 
-def _emit_suffixes(length: int, reach: int, parts: int):
+def _emit_suffixes(by: Sampling, bits: int):
+    @tidied
     def run(batches):
         for t in by_chunk(batches):
-            found = [suffix_array(a.core, a.zone, np.ones(len(a.core), np.int64)) for _, _, _, a in _pieces(t, length, reach)]
-            core, zone, count = suffix_array(*(np.concatenate(x) for x in zip(*found)))
-            out: list[list] = [[], [], [], [], []]
-            for part, s in split_parts(core.astype(np.uint64), parts):
-                for column, v in zip(out, (part, t.column("chunk")[0].as_py(), pack(core[s]), planes(zone[s]), planes(count[s].astype(np.uint64)))):
-                    column.append(v)
-            yield from table(_ROWS, out).to_batches()
+            chunk = t.column("chunk")[0].as_py()
+            found = [Suffixes(a.cores(), a.tail, a.zone, np.zeros(len(a.at), bool), np.full(len(a.at), chunk)) for _, _, _, a in _pieces(t, by)]
+            s = Suffixes.joined(found)
+            rows = list(_dealt(distinct(s, *suffix_order(s)), bits, BATCH))
+            if rows:
+                yield from table(_ROWS, list(zip(*rows))).to_batches()
 
     return run
 
 
-def _array(core: bytes, zone: bytes, count: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack(core), unplanes(zone), unplanes(count).astype(np.int64)
+def _cut_finer(by: Sampling, bits: int):
+    """Rows of a level that was written with fewer parts."""
 
+    def run(batches):
+        for batch in batches:
+            for row in pa.Table.from_batches([batch]).to_pylist():
+                yield from table(_ROWS, list(zip(*_dealt(_unpacked(row, by.core), bits, row["level"])))).to_batches()
 
-STATES = "chunk long, core binary, zone binary, state binary"
-_STATES = pa.schema([("chunk", pa.int64()), ("core", pa.binary()), ("zone", pa.binary()), ("state", pa.binary())])
+    return run
 
 
-def _judge_suffixes(t: pa.Table) -> pa.Table:
-    """Feed the batches of one key range to a family; tell each chunk what its matched suffixes are."""
-    t = t.sort_by("chunk")
-    batches = [_array(*x) for x in zip(blobs(t, "core"), blobs(t, "zone"), blobs(t, "count"))]
-    family = Family()
-    for batch in batches:
-        family.add(batch)
-    core, zone, count, alone = family.matches()
-    key = mix(core) ^ zone  # one symbol for both
-    order = np.argsort(key)
-    said = np.zeros(len(core), bool)
-    out: list[list] = [[], [], [], []]
-    for chunk, (c, z, _) in zip(t.column("chunk").to_pylist(), batches):
-        at, there = find(key[order], mix(c) ^ z)
-        which = order[at[there]] if len(order) else np.zeros(0, np.int64)
-        state = np.where(count[which] < 2, ASK, np.where(alone[which] | said[which], ALL, SPEAK))
-        said[which] = True
-        if there.any():
-            for column, v in zip(out, (chunk, pack(c[there]), planes(z[there]), state.astype(np.uint8).tobytes())):
-                column.append(v)
-    return table(_STATES, out)
+def _scan_part(by: Sampling, merged: int, keep: bool):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("level", "ascending")])
+        rows = t.to_pylist()
+        held: dict[int, list[Suffixes]] = {}
+        for row in rows:
+            held.setdefault(row["level"], []).append(_unpacked(row, by.core))
+        none = Suffixes(np.zeros((0, by.core), np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
+        batch = Suffixes.joined(held.pop(BATCH, [none]))
+        numbers = sorted(held)
+        levels = [Suffixes.joined(held[k]) for k in numbers]
+        chunk, zone, flags, level = merge_scan(batch, levels, sum(k >= merged for k in numbers))
+        order = np.lexsort((zone, chunk))
+        at = group_starts(chunk[order])
+        out = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+            mine = order[a:b]
+            row = dict.fromkeys(_TOLD.names) | {"kind": "told", "chunk": int(chunk[mine[0]]), "zone": pack(zone[mine]), "flags": flags[mine].tobytes()}
+            out.append(row)
+        if keep and len(level):
+            out.append(dict.fromkeys(_TOLD.names) | {"kind": "level"} | dict(zip(_ROWS.names, _packed(rows[0]["part"], 0, level))))
+        tidy(1.0)
+        return pa.Table.from_pylist(out, _TOLD)
 
+    return run
 
-def _states(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending key of each matched suffix of a chunk, and the strongest state told of it."""
-    rows = [(mix(unpack(c)) ^ unplanes(z), np.frombuffer(s, np.uint8)) for c, z, s in zip(blobs(answers, "core"), blobs(answers, "zone"), blobs(answers, "state")) if c is not None]
+
+@dataclass
+class SuffixIndex:
+    """Levels, the oldest first: (folder, batches in it, bits of its parts). ``bits``: those of parts to come."""
+
+    spark: SparkSession
+    path: str
+    by: Sampling
+    bits: int
+    levels: list[tuple[str, int, int]] = field(default_factory=list)
+
+    def save(self) -> None:
+        """Write the list of levels beside them; ``opened`` reads the last one written."""
+        rows = [(k, *level) for k, level in enumerate(self.levels)] or [(0, None, 0, 0)]
+        number = 1 + max([0, *self._numbers(self.spark, self.path)])
+        described = self.spark.createDataFrame(rows, "place int, folder string, batches int, level_bits int")
+        described.withColumns({k: F.lit(v) for k, v in (("bits", self.bits), ("length", self.by.length), ("reach", self.by.reach), ("core", self.by.core))}).coalesce(1).write.parquet(f"{self.path}/levels-{number}")
+
+    @staticmethod
+    def _numbers(spark: SparkSession, path: str) -> list[int]:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/levels-*/_SUCCESS")
+        found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return [int(str(f.getPath().getParent().getName()).rpartition("-")[2]) for f in found]
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str) -> SuffixIndex:
+        rows = sorted(spark.read.parquet(f"{path}/levels-{max(cls._numbers(spark, path))}").collect(), key=lambda r: r.place)
+        r = rows[0]
+        return cls(spark, path, Sampling(r.length, r.reach, r.core), r.bits, [(r.folder, r.batches, r.level_bits) for r in rows if r.folder])
+
+    def add(self, chunks: DataFrame, keep: bool = True) -> DataFrame:
+        """Add a batch, (chunk, text) rows with ``chunk`` as ``Layout`` names them; (chunk, zone, flags) of what became known by it.
+
+        ``keep``: the batch joins the index; without, it is only scanned against it. Levels that
+        merge are deleted: ``save`` afterwards.
+        """
+        merged, batches = len(self.levels), 1
+        while merged and self.levels[merged - 1][1] <= batches:
+            merged -= 1
+            batches += self.levels[merged][1]
+        rows = chunks.mapInArrow(_emit_suffixes(self.by, self.bits), ROWS)
+        for k, (folder, _, bits) in enumerate(self.levels):
+            stored = self.spark.read.schema(ROWS).parquet(f"{self.path}/{folder}/kind=level").withColumn("level", F.lit(k))
+            rows = rows.unionByName(stored if bits == self.bits else stored.mapInArrow(_cut_finer(self.by, self.bits), ROWS))
+        folder = f"batch-{uuid.uuid4().hex}"
+        rows.groupBy("part").applyInArrow(_scan_part(self.by, merged, keep), TOLD).write.partitionBy("kind").parquet(f"{self.path}/{folder}")
+        read = self.spark.read.schema(TOLD).option("basePath", f"{self.path}/{folder}")
+        told = read.parquet(f"{self.path}/{folder}").filter("kind = 'told'").select("chunk", "zone", "flags")
+        if keep:
+            gone = self.levels[merged:]
+            if not read.parquet(f"{self.path}/{folder}").filter("kind = 'level'").isEmpty():
+                self.levels[merged:] = [(folder, batches, self.bits)]
+                for old, _, _ in gone:
+                    delete(self.spark, f"{self.path}/{old}/kind=level")
+        return told
+
+
+def _flags(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending zones of a chunk and all that was told of each."""
+    rows = [(unpack(z), np.frombuffer(f, np.uint8)) for z, f in zip(blobs(answers, "zone"), blobs(answers, "flags")) if z is not None]
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    key, state = (np.concatenate(x) for x in zip(*rows))
-    order = np.argsort(key, kind="stable")
-    at = group_starts(key[order])
-    # a chunk read in two pieces may be told ALL and SPEAK of one suffix
-    return key[order][at], np.maximum.reduceat(state[order], at)
+    zone, flags = (np.concatenate(x) for x in zip(*rows))
+    order = np.argsort(zone, kind="stable")
+    at = group_starts(zone[order])
+    return zone[order][at], np.bitwise_or.reduceat(flags[order], at) if len(at) else flags
 
 
-def _state_of(anchors: Anchors, key: np.ndarray, state: np.ndarray) -> np.ndarray:
-    place, there = find(key, mix(anchors.core) ^ anchors.zone) if len(anchors.core) else (np.zeros(0, np.int64), np.zeros(0, bool))
-    return np.where(there, state[place], 0) if len(key) else np.zeros(len(anchors.core), np.uint8)
+def _flags_of(anchors: Anchors, zone: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    if not len(zone) or not len(anchors.at):
+        return np.zeros(len(anchors.at), np.uint8)
+    place, there = find(zone, anchors.zone)
+    return np.where(there, flags[place], 0)
 
 
-STRINGS = "part int, chunk long, keys binary, more binary"
-_STRINGS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+STRINGS = "part long, chunk long, keys binary, more binary"
+_STRINGS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
 
 
-def _emit_strings(length: int, reach: int, parts: int):
-    """Hashes of the strings that SPEAK and ASK suffixes have, and whether the chunk knows of two."""
+def _emit_strings(by: Sampling, parts: int):
+    """Hashes of the strings of anchors that are to TELL, and whether the chunk knows of two."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
-        key, state = _states(answers)
+        zone, flags = _flags(answers)
         found = []
-        if len(key):
-            for _, _, _, a in _pieces(docs, length, reach):
-                mine = _state_of(a, key, state)
-                of = np.flatnonzero((mine >= SPEAK)[a.group])
-                found.append((a.strings(of), np.where(mine[a.group[of]] == SPEAK, 2, 1)))
+        if (flags & TELL).any():
+            for _, _, _, a in _pieces(docs, by):
+                mine = _flags_of(a, zone, flags)
+                of = np.flatnonzero((mine & TELL > 0)[a.group])
+                found.append((a.strings(of), np.where(mine[a.group[of]] & ALL > 0, 2, 1)))
         if found:
             k, n = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(k, kind="stable")
@@ -222,13 +388,14 @@ def _emit_strings(length: int, reach: int, parts: int):
             for part, s in split_parts(k, parts):
                 for column, v in zip(out, (part, docs.column("chunk")[0].as_py(), pack(k[s]), np.packbits(n[s]).tobytes())):
                     column.append(v)
+        tidy(1.0)
         return table(_STRINGS, out)
 
     return run
 
 
-ANSWER = "chunk long, core binary, zone binary, state binary, keys binary"
-_ANSWER = pa.schema([("chunk", pa.int64()), ("core", pa.binary()), ("zone", pa.binary()), ("state", pa.binary()), ("keys", pa.binary())])
+ANSWER = "chunk long, zone binary, flags binary, keys binary"
+_ANSWER = pa.schema([("chunk", pa.int64()), ("zone", pa.binary()), ("flags", pa.binary()), ("keys", pa.binary())])
 
 
 def _judge_strings(t: pa.Table) -> pa.Table:
@@ -239,37 +406,54 @@ def _judge_strings(t: pa.Table) -> pa.Table:
     order = np.argsort(every, kind="stable")
     at = group_starts(every[order])
     twice = every[order][at][np.add.reduceat(n[order], at) > 1]
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], []]
     for chunk, k in zip(t.column("chunk").to_pylist(), keys):
         _, there = find(twice, k)
         if there.any():
-            for column, v in zip(out, (chunk, None, None, None, pack(k[there]))):
+            for column, v in zip(out, (chunk, None, None, pack(k[there]))):
                 column.append(v)
+    tidy(1.0)
     return table(_ANSWER, out)
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("longest_seen", pa.int64())])
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<struct<first:long,end:long>>, longest_seen long"
+
+
+def _longest_seen(a: Anchors, seen: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each document, the bytes from the first to the last of the longest run of neighbouring anchors whose cores stand elsewhere too."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    if not seen.any():
+        return out
+    doc = np.searchsorted(offsets, a.at, side="right") - 1
+    begin = np.flatnonzero(seen & _new(doc, seen))
+    stop = np.flatnonzero(seen & np.append(_new(doc, seen)[1:], True))
+    np.maximum.at(out, doc[begin], a.at[stop] + a.by.core - a.at[begin])
+    return out
+
 
+def _remove(by: Sampling, with_text: bool):
+    length = by.length
 
-def _remove(length: int, reach: int, with_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], [], [], []]
-        key, state = _states(answers)
+        out: list[list] = [[] for _ in _RESULT]
+        zone, flags = _flags(answers)
         twice = [unpack(b) for b in blobs(answers, "keys") if b is not None]
         twice = np.unique(np.concatenate(twice)) if twice else np.zeros(0, np.uint64)
-        for piece, data, offsets, a in _pieces(docs, length, reach):
+        for piece, data, offsets, a in _pieces(docs, by):
             edges = np.zeros(len(data) + 1, np.int64)
-            mine = _state_of(a, key, state)
-            whole = (mine == ALL) | (mine == SPEAK)
-            np.add.at(edges, a.first[whole].astype(np.int64), 1)
-            np.add.at(edges, a.last[whole].astype(np.int64) + length, -1)
-            of = np.flatnonzero((mine == ASK)[a.group])
+            mine = _flags_of(a, zone, flags)
+            whole = (mine & ALL > 0) & (a.last >= a.first)
+            np.add.at(edges, a.first[whole], 1)
+            np.add.at(edges, a.last[whole] + length, -1)
+            of = np.flatnonzero((mine & (ALL | TELL) == TELL)[a.group])
             repeat = a.starts[of[find(twice, a.strings(of))[1]]] if len(of) else of
             np.add.at(edges, repeat, 1)
             np.add.at(edges, repeat + length, -1)
             covered = np.cumsum(edges)[:-1] > 0
+            longest = _longest_seen(a, mine & SEEN > 0, offsets)
             raw = data.tobytes()
-            for doc, b, e in zip(piece.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            for doc, b, e, seen in zip(piece.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), longest.tolist()):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], covered[b:e].astype(np.int8), [0]]))).tolist()
                 spans = list(zip(edge[::2], edge[1::2]))
                 kept, at = [], b
@@ -277,28 +461,34 @@ def _remove(length: int, reach: int, with_text: bool):
                     kept.append(raw[at : b + x])
                     at = b + y
                 kept = b"".join([*kept, raw[at:e]])
-                for column, v in zip(out, (doc, e - b, sum(y - x for x, y in spans), len(spans), kept if with_text else None, hashlib.sha256(kept).hexdigest(), [{"first": x, "end": y} for x, y in spans])):
+                for column, v in zip(out, (doc, e - b, sum(y - x for x, y in spans), len(spans), kept if with_text else None, hashlib.sha256(kept).hexdigest(), [{"first": x, "end": y} for x, y in spans], max([seen, *(y - x for x, y in spans)]))):
                     column.append(v)
+        tidy(1.0)
         return table(_RESULT, out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, reach: int | None = None, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes; null without ``with_text``), kept_sha256, spans (bytes).
+def remove_repeats(docs: DataFrame, length: int = 400, reach: int | None = None, core: int | None = None, with_text: bool = True, batches: int = 3, part_bytes: int = 24 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes; null without ``with_text``), kept_sha256, spans (bytes), longest_seen.
 
     Removed is each byte of a string of ``length`` bytes that starts elsewhere too, in the
-    same document or another; strings are judged on the input.
+    same document or another; strings are judged on the input.  ``longest_seen`` tells of shorter
+    repeats as well: the bytes of the longest removed run, or of the longest run of neighbouring
+    indexed suffixes whose first ``core`` bytes stand elsewhere too.  The documents go through a family
+    of indexes in ``batches``; the last one is only scanned, as nothing comes after it.
     """
-    reach = reach or max(1, min(160, length // 2))
-    if length < reach + 7:
-        raise ValueError("the anchor's 8 bytes must lie inside the string: length >= reach + 7")
-    layout = Layout(docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}, part_bytes=24 << 20)
-    suffixes = layout.docs.mapInArrow(_emit_suffixes(length, reach, layout.parts), ROWS)
-    states = materialise(suffixes.groupBy("part").applyInArrow(_judge_suffixes, STATES), "suffix-states")
-    by = layout.docs.groupBy("chunk")
-    strings = by.cogroup(states.groupBy("chunk")).applyInArrow(_emit_strings(length, reach, layout.parts), STRINGS)
+    reach = reach or max(1, min(200, length // 2))
+    spark, by = docs.sparkSession, Sampling(length, reach, core or min(64, length - reach + 1))
+    layout = Layout(docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}, part_bytes=part_bytes)
+    index = SuffixIndex(spark, new_path(spark, "suffix-index"), by, max(3, (layout.parts - 1).bit_length()))
+    told = None
+    for k in range(batches):
+        batch = layout.docs.filter(F.pmod("chunk", F.lit(batches)) == k).select("chunk", "text")
+        new = index.add(batch, keep=k < batches - 1)
+        told = new if told is None else told.unionByName(new)
+    chunks = layout.docs.groupBy("chunk")
+    strings = chunks.cogroup(told.groupBy("chunk")).applyInArrow(_emit_strings(by, layout.parts), STRINGS)
     repeats = strings.groupBy("part").applyInArrow(_judge_strings, ANSWER)
-    answers = materialise(states.withColumn("keys", F.lit(None).cast("binary")).unionByName(repeats), "suffix-repeats")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<struct<first:long,end:long>>"
-    return by.cogroup(answers.groupBy("chunk")).applyInArrow(_remove(length, reach, with_text), out)
+    answers = materialise(told.withColumn("keys", F.lit(None).cast("binary")).unionByName(repeats), "suffix-repeats")
+    return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(_remove(by, with_text), RESULT)
