@@ -11,16 +11,15 @@ from specloom.llm._common import discard, materialise
 def _least_beside(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each row with the least v of its u.
 
-    The least ones are joined by a copy of the key that is not known to be dealt out
-    already: both sides are shuffled for the join alone, so the rows of a hub may be
-    split over several tasks; to its minimum they come summed up.
+    The rows of a hub may be split over several tasks of the join; to its minimum they come summed up.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(_same("u").alias("_u"), "m")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u").alias("_u"), "m")
     return pairs.join(least.hint("merge"), F.col("u") == F.col("_u")).select("u", "v", "m")
 
 
-def _same(column: str) -> Column:
-    return F.element_at(F.array(F.col(column)), 1)  # the optimizer does not see that this is the column itself
+def dealt_anew(column: str) -> Column:
+    """A copy of a column of which the optimizer does not know that it is one: a join by it shuffles both sides, and may split a hot key's rows."""
+    return F.element_at(F.array(F.col(column)), 1)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

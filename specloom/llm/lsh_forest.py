@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm._common import Words, discard, fixed, flat, from_files, group_starts, materialise, mix, prefix_sums, record, run_hash, slices, text_bytes, tidied
-from specloom.llm.graph import components
+from specloom.llm.graph import components, dealt_anew
 
 HASHES = mix(np.arange(1, 4097, dtype=np.uint64), 0xF0E57) | np.uint64(1)
 
@@ -314,9 +314,9 @@ def _verify(threshold: tuple[int, int]):
 
 def _block_pairs(groups: DataFrame, block: int, shingles_in_block: int) -> DataFrame:
     """Rows (root, node, i, j, side): each block pair of each candidate group, blocks of about ``block`` nodes and so many shingles at most."""
-    counts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("shingles") / shingles_in_block)).cast("int").alias("blocks"))
+    counts = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("shingles") / shingles_in_block)).cast("int").alias("blocks")).select(dealt_anew("root").alias("_root"), "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = groups.join(counts, "root").withColumn("own", own)
+    placed = groups.join(counts.hint("merge"), F.col("root") == F.col("_root")).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return placed.select("*", other).select("root", "node", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
 
@@ -368,7 +368,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), tr
         grown = placed
         if old is not None:  # groups only grow: one of the same root and size is the same
             size = [g.groupBy("root").agg(F.count("*").alias("n")) for g in (placed, old)]
-            grown = placed.join(size[0].join(size[1], ["root", "n"], "left_anti").select("root"), "root", "left_semi")
+            more = size[0].join(size[1], ["root", "n"], "left_anti").select(dealt_anew("root").alias("_root"))
+            grown = placed.join(more.hint("merge"), F.col("root") == F.col("_root"), "left_semi")
         pairs = _block_pairs(grown, block, shingles_in_block).join(sets.select("node", "hashes"), "node")
         checked = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node").mapInArrow(_verify(threshold), FOUND)
         if found is not None:  # of groups that have not grown the links stay
