@@ -114,7 +114,7 @@ def by_chunk(batches, most_rows: int = 1 << 16):
         yield pa.Table.from_batches(held)
 
 
-def slices(table: pa.Table, column: str, most: int = 1_000_000):
+def slices(table: pa.Table, column: str, most: int = 500_000):
     """(first row, rows) of runs with at most ``most`` bytes in ``column``, or one row."""
     sizes = text_lengths(table.column(column))
     ends = np.cumsum(sizes)

@@ -232,7 +232,7 @@ def _dealt(s: Suffixes, bits: int, level: int) -> Iterator[list]:
 
 
 def _pieces(t: pa.Table, by: Sampling) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Anchors]]:
-    for at, n in slices(t, "text"):
+    for at, n in slices(t, "text", 300_000):  # about 150 bytes of arrays for each byte
         piece = t.slice(at, n)
         data, offsets = text_bytes(piece.column("text"))
         yield piece, data, offsets, Anchors(data, offsets, by)
@@ -469,7 +469,7 @@ def _remove(by: Sampling, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, reach: int | None = None, core: int | None = None, with_text: bool = True, batches: int = 3, part_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, reach: int | None = None, core: int | None = None, with_text: bool = True, batches: int = 3, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes; null without ``with_text``), kept_sha256, spans (bytes), longest_seen.
 
     Removed is each byte of a string of ``length`` bytes that starts elsewhere too, in the
@@ -480,7 +480,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, reach: int | None = None,
     """
     reach = reach or max(1, min(200, length // 2))
     spark, by = docs.sparkSession, Sampling(length, reach, core or min(64, length - reach + 1))
-    layout = Layout(docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}, part_bytes=part_bytes)
+    layout = Layout(docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}, chunk_bytes=8 << 20, part_bytes=part_bytes)
     index = SuffixIndex(spark, new_path(spark, "suffix-index"), by, max(3, (layout.parts - 1).bit_length()))
     told = None
     for k in range(batches):
