@@ -1,16 +1,18 @@
 """Language-model scoring by partial matching over a byte-context trie.
 
 The model is a trie of byte contexts of up to ``order`` bytes, with counts of the byte
-that follows.  A byte is predicted in its longest context that was seen; escape method C
-(as many escapes as distinct followers) leads to the next shorter context, where bytes
-already offered by the longer one are excluded; at the end all bytes left are alike.  An
-end symbol closes each text, so a score is the log10 probability of the whole text.
+that follows.  A byte is predicted in its longest context that was seen.  Escapes are estimated
+by absolute discounting: each distinct follower of a context gives up ``discount`` of its count,
+and what they give up is the chance of the escape to the next shorter context (method D with
+one half); bytes already offered by the longer context are excluded there; at the end all
+bytes left are alike.  An end symbol closes each text, so a score is the log10 probability of the
+whole text.
 
 Training covers all texts of the training fold. The trie is never gathered: chunks send
 their distinct (context, byte) strings with training counts to ranges of the trie that
-are kept together by the last two bytes of the context, and get the log probabilities
-back. The orders 0 and 1 are the same everywhere: 256 * 257 counts at most are broadcast.
-Words and their counts, for the unigram base score, travel the same way.
+are kept together by the last three bytes of the context, and get the log probabilities
+back. The orders 0 to 2 are the same everywhere: 2 ** 24 counts at most (ten thousands in
+natural texts) are broadcast. Words and their counts, for the unigram base score, travel the same way.
 
 Rows: each input row gives one row. Null texts are empty: only the end symbol. A null
 doc_id has the empty string as its text form. No rows: none. Repeated rows train and are
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm._common import LOWER, Layout, Words, blobs, by_chunk, find, group_starts, materialise, mix, pack, planes, slices, split_parts, table, text_bytes, unpack, unplanes
+from specloom.llm._common import LOWER, Layout, Words, blobs, by_chunk, discard, find, group_starts, materialise, mix, pack, planes, slices, split_parts, table, text_bytes, tidied, tidy, unpack, unplanes
 
 END = 255  # never a byte of UTF-8: the end symbol, and what stands before a text
-WORD, GRAM = 0, 1
+WORD, GRAM, LOW = 0, 1, 2
+SHARED_ORDER = 2
 ROWS = "kind int, part int, chunk long, keys binary, counts binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 END_WORD = mix(np.array([1], np.uint64), 0xE0D)
@@ -83,17 +86,19 @@ def _count(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _sum(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     k, n = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(k, kind="stable")
-    at = group_starts(k[order])
-    return (k[order][at], np.add.reduceat(n[order], at)) if len(at) else (k, n)
+    order = np.argsort(k)
+    k = k[order]
+    at = group_starts(k)
+    return (k[at], np.add.reduceat(n[order], at)) if len(at) else (k, n)
 
 
 def _range_of(grams: np.ndarray, parts: int) -> np.ndarray:
-    """The trie range of each gram: by its context's last two bytes."""
-    return (mix(grams >> np.uint64(8) & np.uint64(0xFFFF), 11) % np.uint64(parts)).astype(np.int64)
+    """The trie range of each gram: by its context's last bytes, one more than the orders that all ranges share."""
+    return (mix(grams >> np.uint64(8) & np.uint64((1 << 8 * (SHARED_ORDER + 1)) - 1), 11) % np.uint64(parts)).astype(np.int64)
 
 
 def _emit(order: int, folds: int, held: int, word_parts: int, gram_parts: int):
+    @tidied
     def run(batches):
         for t in by_chunk(batches):
             words, grams, chunk = [], [], t.column("chunk")[0].as_py()
@@ -107,6 +112,9 @@ def _emit(order: int, folds: int, held: int, word_parts: int, gram_parts: int):
                 for column, v in zip(out, (WORD, part, chunk, pack(keys[s]), planes(n[s].astype(np.uint64)))):
                     column.append(v)
             keys, n = _sum(grams)
+            low, count = _sum([(keys[n > 0] & np.uint64((1 << 8 * (SHARED_ORDER + 1)) - 1), n[n > 0])])
+            for column, v in zip(out, (LOW, 0, chunk, pack(low), planes(count.astype(np.uint64)))):
+                column.append(v)
             where = _range_of(keys, gram_parts)
             by_part = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[by_part], np.arange(gram_parts + 1))
@@ -141,35 +149,42 @@ class Level:
             self.taken = np.add.reduceat(np.where(there, lower.counts[place], 0), self.at)
 
 
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log10 probability of each gram's byte after its context. ``grams``: ascending, with training
-    counts, complete for the contexts' last two bytes; ``pairs``: the trie's order 1."""
-    seen = counts > 0
-    levels = {order: Level(grams[seen], counts[seen])}
-    for k in range(order, 2, -1):
+def shared_levels(low: tuple[np.ndarray, np.ndarray]) -> dict[int, Level]:
+    """The trie's orders 0 to 2 from the counts of order 2."""
+    levels = {SHARED_ORDER: Level(*low)}
+    for k in range(SHARED_ORDER, 0, -1):
         levels[k - 1] = levels[k].shorter(k)
-    levels[1] = Level(*pairs)
-    levels[0] = levels[1].shorter(1)
-    for k in range(order, 0, -1):
         levels[k].exclude_in(levels[k - 1], k)
+    return levels
+
+
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int, shared: dict[int, Level], discount: float) -> np.ndarray:
+    """log10 probability of each gram's byte after its context. ``grams``: ascending, with training
+    counts, complete for the contexts' last three bytes; ``shared``: the lowest orders."""
+    levels = dict(shared)
+    if order > SHARED_ORDER:
+        seen = counts > 0
+        levels[order] = Level(grams[seen], counts[seen])
+        for k in range(order, SHARED_ORDER + 1, -1):
+            levels[k - 1] = levels[k].shorter(k)
+        for k in range(order, SHARED_ORDER, -1):
+            levels[k].exclude_in(levels[k - 1], k)
     out = np.zeros(len(grams))
     left = np.arange(len(grams))
     taken, gone = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)  # counts and followers excluded so far
     for k in range(order, -1, -1):
         level = levels[k]
+        if not len(level.contexts):
+            continue
         node = grams[left] & np.uint64((1 << 8 * (k + 1)) - 1)
         place, known = find(level.contexts, node >> np.uint64(8))
         at, hit = find(level.keys, node)
-        if not len(level.contexts):
-            continue
-        total = level.total[place] - taken[left]
-        escapes = level.distinct[place] - gone[left]
-        sure = known & (total > 0)
-        whole = np.maximum(total + escapes, 1)
+        total = np.maximum(level.total[place] - taken[left], 1)
+        followers = level.distinct[place] - gone[left]
         good = known & hit
-        out[left[good]] += np.log10(level.counts[at[good]] / whole[good])
-        miss = sure & ~hit
-        out[left[miss]] += np.log10(escapes[miss] / whole[miss])
+        out[left[good]] += np.log10((level.counts[at[good]] - discount) / total[good])
+        miss = known & ~hit & (followers > 0)
+        out[left[miss]] += np.log10(discount * followers[miss] / total[miss])
         taken[left] = np.where(known, level.taken[place], taken[left])
         gone[left] = np.where(known, level.distinct[place], gone[left])
         left = left[~good]
@@ -181,14 +196,16 @@ ANSWER = "kind int, chunk long, keys binary, values binary, n_train long, n_dist
 _ANSWER = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("n_train", pa.int64()), ("n_distinct", pa.int64())])
 
 
-def _answer(order: int, pairs):
+def _answer(order: int, low, discount: float):
+    levels: dict[int, Level] = {}
+
     def run(t: pa.Table) -> pa.Table:
+        if not levels:
+            levels.update(shared_levels(low.value))
         kind = t.column("kind")[0].as_py()
         keys, counts = [unpack(b) for b in blobs(t, "keys")], [unplanes(b).astype(np.int64) for b in blobs(t, "counts")]
         every, n = _sum(list(zip(keys, counts)))
-        values = n.astype("<f4") if kind == WORD else log_probabilities(every, n, order, pairs.value).astype("<f4")
-        if kind == WORD:
-            values = n.astype("<i8")
+        values = n if kind == WORD else log_probabilities(every, n, order, levels, discount).astype("<f8")
         out: list[list] = [[], [], [], [], [], []]
         for i, (chunk, k) in enumerate(zip(t.column("chunk").to_pylist(), keys)):
             mine = values[find(every, k)[0]]
@@ -196,6 +213,7 @@ def _answer(order: int, pairs):
             totals = (int(n.sum()), int((n > 0).sum())) if kind == WORD and i == 0 else (0, 0)
             for column, v in zip(out, (kind, chunk, pack(k), stated, *totals)):
                 column.append(v)
+        tidy(1.0)
         return table(_ANSWER, out)
 
     return run
@@ -210,11 +228,22 @@ def _per_doc(values: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> np.nda
     return upto[ends] - upto[begins]
 
 
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys, all of which are among the ascending ``keys``; in order, as memory is then read in order."""
+    by = np.argsort(wanted)
+    w = wanted[by]
+    at = group_starts(w)
+    out = np.empty(len(w))
+    if len(w):
+        out[by] = np.repeat(values[np.searchsorted(keys, w[at])], np.diff(np.append(at, len(w))))
+    return out
+
+
 def _score(order: int, folds: int, held: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         learnt = {}
         for kind in (WORD, GRAM):
-            rows = [(unpack(k), unplanes(v).astype(np.float64) if kind == WORD else np.frombuffer(v, "<f4").astype(np.float64)) for which, k, v in zip(answers.column("kind").to_pylist(), blobs(answers, "keys"), blobs(answers, "values")) if which == kind]
+            rows = [(unpack(k), unplanes(v).astype(np.float64) if kind == WORD else np.frombuffer(v, "<f8")) for which, k, v in zip(answers.column("kind").to_pylist(), blobs(answers, "keys"), blobs(answers, "values")) if which == kind]
             k, v = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0))
             by = np.argsort(k, kind="stable")
             learnt[kind] = k[by], v[by]
@@ -222,49 +251,49 @@ def _score(order: int, folds: int, held: int):
         for piece, x in _pieces(docs, folds, held):
             keys, values = learnt[WORD]
             first = x.words.first
-            c = np.concatenate([values[find(keys, x.words.ids)[0]], values[find(keys, END_WORD)[0]]])
-            end_count, c = c[-1], c[:-1]
+            c, end_count = _look_up(keys, values, x.words.ids), _look_up(keys, values, END_WORD)[0]
             known = _per_doc((c > 0).astype(np.int64), first[1:], first[:-1]) + int(end_count > 0)
             base = _per_doc(np.log10(c + 0.5), first[1:], first[:-1]) + np.log10(end_count + 0.5)
             keys, values = learnt[GRAM]
-            score = _per_doc(values[find(keys, x.grams(order))[0]], x.ends, x.ends - x.lengths)
+            score = _per_doc(_look_up(keys, values, x.grams(order)), x.ends, x.ends - x.lengths)
             for column, v in zip(out, (piece.column("doc_id").to_pylist(), x.held.tolist(), (x.words.counts + 1).tolist(), known.tolist(), base.tolist(), score.tolist(), (x.lengths - 1).tolist())):
                 column += v
+        tidy(1.0)
         return table(_SCORED, out)
 
     return run
 
 
-def _pair_counts(docs: DataFrame, folds: int, held: int) -> tuple[np.ndarray, np.ndarray]:
-    """The trie's order 1: at most 256 * 256 (byte, byte) counts of the training texts."""
+def _low_counts(sent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The trie's order 2: at most 2 ** 24 counts of the training texts, summed over all chunks."""
+    schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         for b in batches:
-            n = np.zeros(1 << 16, np.int64)
-            for _, x in _pieces(pa.Table.from_batches([b]), folds, held):
-                n += np.bincount(x.grams(1)[~x.held[x.doc]].astype(np.int64), minlength=1 << 16)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], schema=pa.schema([("pair", pa.int32()), ("n", pa.int64())]))
+            found = [(unpack(k), unplanes(n).astype(np.int64)) for k, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist())]
+            if found:
+                gram, n = _sum(found)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int32)), pa.array(n)], schema=schema)
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    rows.sort()
-    return np.array([r.pair for r in rows], np.uint64), np.array([r.n for r in rows], np.int64)
+    rows = sent.filter(F.col("kind") == LOW).select("keys", "counts").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")
+    return rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
 
 
-def score(docs: DataFrame, order: int = 5, folds: int = 5, held: int = 1) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, folds: int = 5, held: int = 1, discount: float = 0.3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     The fold crc32(doc_id as text) mod ``folds`` = ``held`` is scored but not learnt from.
     ``base_score``: word unigrams with add-one-half smoothing; ``score``: the trie's log10
     probability of the lower-cased text and its end.
     """
-    if not 2 <= order <= 7:
-        raise ValueError("order: 2 to 7 bytes")
+    if not (SHARED_ORDER <= order <= 7 and 0 < discount < 1):
+        raise ValueError("order: 2 to 7 bytes; discount: between 0 and 1")
     spark = docs.sparkSession
     layout = Layout(docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    pairs = spark.sparkContext.broadcast(_pair_counts(layout.docs, folds, held))
-    sent = layout.docs.mapInArrow(_emit(order, folds, held, layout.parts, layout.parts), ROWS)
-    answers = materialise(sent.groupBy("kind", "part").applyInArrow(_answer(order, pairs), ANSWER), "trie-answers")
+    sent = materialise(layout.docs.mapInArrow(_emit(order, folds, held, layout.parts, layout.parts), ROWS), "trie-counts")
+    low = spark.sparkContext.broadcast(_low_counts(sent))
+    answers = materialise(sent.filter(F.col("kind") != LOW).groupBy("kind", "part").applyInArrow(_answer(order, low, discount), ANSWER), "trie-answers")
+    discard(sent)
     totals = answers.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("v"))
     scored = layout.docs.groupBy("chunk").cogroup(answers.select("kind", "chunk", "keys", "values").groupBy("chunk")).applyInArrow(_score(order, folds, held), SCORED)
     base = F.col("base_sum") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("v") + 1))
