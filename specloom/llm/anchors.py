@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm._common import Layout, Words, blobs, by_chunk, find, flat, group_starts, materialise, numbers, pack, pack_signed, slices, split_parts, table, text_bytes, unpack, unpack_signed
+from specloom.llm._common import Layout, Words, blobs, by_chunk, find, find_all, flat, group_starts, materialise, numbers, pack, pack_signed, slices, split_parts, table, text_bytes, tidied, tidy, unpack, unpack_signed
 
 NEVER = np.iinfo(np.int64).max
 SHIFT = np.uint64(16)
@@ -39,7 +39,7 @@ _ANSWER = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.b
 
 def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ascending keys, the least document of each, and whether another document has it too."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, d = keys[order], docs[order]
     at = group_starts(k)
     if not len(at):
@@ -51,7 +51,7 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same from several triples (key, least document, more than one document)."""
     keys, docs, more = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, d, m = keys[order], docs[order], more[order]
     at = group_starts(k)
     if not len(at):
@@ -75,6 +75,7 @@ def _probes(words: Words, docs: np.ndarray, block: int) -> tuple[np.ndarray, np.
 
 
 def _emit_probes(block: int, parts: int):
+    @tidied
     def run(batches):
         for t in by_chunk(batches):
             found, indexed = [], []
@@ -111,7 +112,7 @@ def _answer_probes(t: pa.Table) -> pa.Table:
         d[mine] = unpack_signed(b)
         docs.append(d)
     every, has, more, least = np.concatenate(keys), np.concatenate([f[0] for f in flags]), np.concatenate([f[1] for f in flags]), np.concatenate(docs)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     at = group_starts(every[order])
     many = (np.diff(np.append(at, len(every))) > 1) | np.logical_or.reduceat(more[order], at)
     wanted = many & np.logical_or.reduceat(has[order], at)
@@ -122,6 +123,7 @@ def _answer_probes(t: pa.Table) -> pa.Table:
         if there.any():
             for column, v in zip(out, (chunk, pack(k[there]), pack_signed(table_docs[place[there]]))):
                 column.append(v)
+    tidy(1.0)
     return table(_ANSWER, out)
 
 
@@ -131,7 +133,7 @@ def _table_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k, d = np.concatenate(keys), np.concatenate([unpack_signed(b) for b in blobs(answers, "docs")])
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     at = group_starts(k[order])
     return k[order][at], d[order][at]
 
@@ -146,7 +148,7 @@ def _extend(block: int, window: int, parts: int):
         if len(index_keys):
             for _, words, ids in _pieces(docs):
                 at, keys, is_block = _probes(words, ids, block)
-                place, there = find(index_keys, keys)
+                place, there = find_all(index_keys, keys)
                 hit = np.zeros(len(words.ids) + 1, np.int64)
                 hit[at] = there & (is_block | (index_docs[place] < ids[at]))
                 upto = np.concatenate([[0], np.cumsum(hit)])
@@ -158,6 +160,7 @@ def _extend(block: int, window: int, parts: int):
             for part, s in split_parts(keys, parts):
                 for column, v in zip(out, (part, docs.column("chunk")[0].as_py(), pack(keys[s]), pack_signed(least[s]), None)):
                     column.append(v)
+        tidy(1.0)
         return table(_ROWS, out)
 
     return run
@@ -174,6 +177,7 @@ def _answer_windows(t: pa.Table) -> pa.Table:
         if lower.any():
             for column, v in zip(out, (chunk, pack(k[lower]), pack_signed(least[place[lower]]))):
                 column.append(v)
+    tidy(1.0)
     return table(_ANSWER, out)
 
 
@@ -192,8 +196,8 @@ def _remove(window: int, with_text: bool):
         own = _merge([_least((w := words.windows(window))[1], ids[w[0]]) for _, words, ids in _pieces(docs)]) if docs.num_rows else None
         for piece, words, ids in _pieces(docs):
             starts, hashes = words.windows(window)
-            least = own[1][find(own[0], hashes)[0]] if len(hashes) else np.zeros(0, np.int64)
-            place, there = find(other_keys, hashes)
+            least = own[1][find_all(own[0], hashes)[0]] if len(hashes) else np.zeros(0, np.int64)
+            place, there = find_all(other_keys, hashes)
             if there.any():
                 least = np.where(there, np.minimum(least, other_docs[place]), least)
             repeat = starts[least < ids[starts]]
@@ -209,6 +213,7 @@ def _remove(window: int, with_text: bool):
                 kept = b" ".join(kept)
                 for column, v in zip(out, (doc, b - a, int(mine.sum()), kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest(), [{"first": x, "end": y} for x, y in _spans(mine)])):
                     column.append(v)
+        tidy(1.0)
         return table(_RESULT, out)
 
     return run

@@ -21,13 +21,14 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm._common import flat, materialise
+from specloom.llm._common import flat, materialise, tidied
 
 # fixed value: what is no word character
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -111,25 +112,27 @@ def _automaton(key: str, items: list[tuple[int, str]], window: int) -> Automaton
     return _automata[key]
 
 
-def _shares(benchmark: DataFrame, most_bytes: int, window: int) -> list[list[tuple[int, str]]]:
-    """Items dealt into shares, the patterns of each within ``most_bytes`` (about ``window`` times the text)."""
+def _shares(benchmark: DataFrame, most_bytes: int, window: int) -> Iterator[list[tuple[int, str]]]:
+    """Items dealt into shares, one after the other, the patterns of each within ``most_bytes`` (about ``window`` times the text).
+
+    Only one share at a time is on the driver.
+    """
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total * window // most_bytes))
-    out = []
-    for k in range(n):  # one share at a time is on the driver
+    for k in range(n):
         rows = sized if n == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        out.append([(r.item_id, r.text) for r in rows.collect()])
-    return out
+        yield [(r.item_id, r.text) for r in rows.collect()]
 
 
 def _scan_share(docs: DataFrame, items: list[tuple[int, str]], window: int, with_spans: bool) -> DataFrame:
-    """``docs`` with the scan's columns appended; all columns pass through."""
+    """``docs`` with the scan's columns appended; all columns pass through. The items stay in the broadcast's file, not on the driver's heap."""
     shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     names = [f"_c{i}" for i in range(len(docs.columns))]
     renamed = docs.toDF(*names)  # clashing and repeated names pass
     text = names[docs.columns.index("text")]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, shared.value, window)
         for batch in batches:
@@ -152,13 +155,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, with_spans: bo
     """doc_id, n_words, n_hit, n_items, items, spans (characters of the original), contaminated."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shares = _shares(benchmark, most_bytes, window)
-    found = [_scan_share(slim.select("doc_id", "text"), items, window, with_spans).withColumnRenamed("_c0", "doc_id").drop("_c1") for items in shares]
-    if len(found) > 1:
+    first, second = next(shares), next(shares, None)
+    if second is None:
+        found = [_scan_share(slim.select("doc_id", "text"), first, window, with_spans).withColumnRenamed("_c0", "doc_id").drop("_c1")]
+    else:
         slim = materialise(slim.withColumn("row", F.monotonically_increasing_id()), "scan-input")  # row numbers stay as written
-        found = [_scan_share(slim, items, window, with_spans) for items in shares]
-        merged = found[0]
-        for more in found[1:]:
-            merged = merged.unionByName(more)
+        merged = None
+        for items in chain((first, second), shares):
+            # of texts without a hit the first scan tells
+            more = _scan_share(slim, items, window, with_spans).drop("_c1")
+            merged = more if merged is None else merged.unionByName(more.filter(F.size("runs") > 0))
         found = [
             merged.groupBy(F.col("_c2"))
             .agg(F.first("_c0").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

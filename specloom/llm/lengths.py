@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm._common import slices
+from specloom.llm._common import slices, tidied
 from specloom.llm.tokens import encoder
 
 
@@ -27,6 +27,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     text = docs.sparkSession.sparkContext.broadcast(tokenizer)
     schema = pa.schema([("length", pa.int64()), ("n", pa.int64())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -40,7 +41,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long, n long")
 
 
-def histogram(lengths: DataFrame, bucket: int = 1024) -> DataFrame:
+def histogram(lengths: DataFrame, bucket: int = 128) -> DataFrame:
     """From rows of (length, n): for each length the documents and ids at it, at least it, and cut at it.
 
     ``truncated_total``: ids of all documents when each is cut at ``length``;

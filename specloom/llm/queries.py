@@ -65,11 +65,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all documents that stand in windows of the benchmark's items."""
+    """Words of all documents that stand in windows of the benchmark's items, and where these stand in the original text."""
     from specloom.llm import decontaminate
 
-    found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), with_spans=False)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated")
+    found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated", "spans")
 
 
 def op3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm._common import materialise, new_path, numbers, plan_bytes, slices
+from specloom.llm._common import materialise, new_path, numbers, plan_bytes, slices, tidied
 from specloom.llm.tokens import encoder
 
 SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("doc_lengths", pa.binary()), ("doc_symbols", pa.binary()), ("vocab", pa.int32()), ("rules", pa.binary()), ("rule_lengths", pa.binary()), ("symbol_bytes", pa.int32()), ("symbols", pa.binary())])
@@ -207,6 +207,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     size = plan_bytes(slim) or slim.count() * 4096
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // part_bytes))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, number = encoder(text.value), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
@@ -288,6 +289,7 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
     out = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_symbols", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(out)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):

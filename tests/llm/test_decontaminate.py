@@ -64,6 +64,12 @@ def test_spans_point_into_the_original(spark):
     assert [r_ for r_ in (("Ä ok. SHORT --\n one? É  X!")[a:b] for a, b in r.spans)] == ["SHORT --\n one? É  X"]
 
 
+def test_spans_of_several_automata_are_those_of_one(spark):
+    _, bench = items(spark)
+    one, several = ({(str(r.doc_id), r.n_words, tuple(map(tuple, r.spans))) for r in dc.scan(frame(spark, corpus()), bench, most_bytes=m).collect()} for m in (1 << 20, 1500))
+    assert one == several and any(spans for _, _, spans in one)
+
+
 def test_removal_keeps_clean_rows_and_columns(spark):
     docs, (rows, bench) = corpus(), items(spark)
     df = frame(spark, docs)
