@@ -127,23 +127,13 @@ def overlapped(pieces: Column, overlap: int = OVERLAP) -> Column:
 def hard_split(c: Column, most: int = MOST) -> Column:
     """Pieces of at most ``most`` characters, cut at the last space before it if there is one.
 
-    Every cut takes a character at least, so length + 1 steps always suffice; steps after the end
-    leave the state as it is.
+    One pass of a pattern from piece to piece: what is left if it fits, else up to the last space
+    within reach, else as many characters as fit. White space around pieces goes.
     """
-    state = F.struct(F.array().cast("array<string>").alias("done"), c.alias("rest"))
-
-    def step(acc: Column, _: Column) -> Column:
-        head = F.substring(acc["rest"], 1, most)
-        last_space = F.length(head) - F.instr(F.reverse(head), " ")  # 0-based; the length itself if there is none
-        at = F.when(F.instr(head, " ") > 0, last_space).otherwise(F.lit(most))
-        long = F.length(acc["rest"]) > most
-        done = F.when(long, F.concat(acc["done"], F.array(strip(F.substring(acc["rest"], F.lit(1), at))))).otherwise(acc["done"])
-        rest = F.when(long, strip(F.substring(acc["rest"], at + 1, F.length(acc["rest"])))).otherwise(acc["rest"])
-        return F.struct(done.alias("done"), rest.alias("rest"))
-
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(c) / F.lit(most / 4)).cast("int") + 8))
-    cut = F.aggregate(steps, state, step, lambda a: F.when(a["rest"] != "", F.concat(a["done"], F.array(a["rest"]))).otherwise(a["done"]))
-    return F.when(F.length(c) <= most, F.array(c)).otherwise(cut)
+    piece = rf"(?sU)(?:\A|\s*)(.{{1,{most}}}\z|.{{0,{most - 1}}}(?= )|.{{{most}}})"
+    bare = F.concat(F.regexp_extract(c, r"(?U)\A\s*", 0), strip(c))  # the first piece's reach counts white space before the text
+    cut = F.transform(F.regexp_extract_all(bare, F.lit(piece), F.lit(1)), strip)
+    return F.when(F.length(c) <= most, F.array(c)).otherwise(F.filter(cut, lambda x: x != ""))
 
 
 def procedure_chunks(c: Column, most: int = MOST) -> Column:

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.functions.text import tokens
+from specloom.sources.tables import materialise
 
 K1, B, EPSILON, DAMPING = 1.5, 0.75, 0.25, 60
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    postings: DataFrame  # index_key, chunk_pos, term, tf
+    postings: DataFrame  # index_key, chunk_pos, dl, term, tf; a term's tf may be dealt over several rows
     lengths: DataFrame  # index_key, chunk_pos, dl
     terms: DataFrame  # index_key, term, idf
     stats: DataFrame  # index_key, n, avgdl
@@ -32,18 +33,28 @@ class Bm25Index:
 
 
 def bm25_index(chunks: DataFrame, text: str = "text") -> Bm25Index:
-    """From (index_key, chunk_pos, text). Tokenised once: the term counts are made in each row."""
+    """From (index_key, chunk_pos, text). The texts are tokenised once, into a table that all parts of the index read.
+
+    Postings stay as they stand in the texts, a row for each word: a question's terms are
+    picked out first and counted then; ``counted`` sums them up for storing.
+    """
     docs = chunks.select("index_key", "chunk_pos", tokens(F.col(text)).alias("toks"))
-    lengths = docs.select("index_key", "chunk_pos", F.size("toks").cast("long").alias("dl"))
-    postings = docs.select("index_key", "chunk_pos", F.explode("toks").alias("term")).groupBy("index_key", "chunk_pos", "term").agg(F.count("*").alias("tf"))
+    docs = materialise(docs.withColumn("dl", F.size("toks").cast("long")), "bm25-tokens")
+    lengths = docs.select("index_key", "chunk_pos", "dl")
+    postings = docs.select("index_key", "chunk_pos", "dl", F.explode("toks").alias("term"), F.lit(1).cast("long").alias("tf"))
     stats = lengths.groupBy("index_key").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("index_key", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "index_key")
+    found = docs.select("index_key", F.explode(F.array_distinct("toks")).alias("term")).groupBy("index_key", "term").agg(F.count("*").alias("df"))
+    df = found.join(F.broadcast(stats), "index_key")
     raw = df.select("index_key", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("index_key").agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean), "index_key").select("index_key", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return Bm25Index(postings, lengths, terms, stats)
 
 
+def counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("index_key", "chunk_pos", "dl", "term").agg(F.sum("tf").alias("tf"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, asked: how often the term stands in the query."""
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("asked"))
@@ -53,8 +64,9 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(query_id, index_key, chunk_pos, score) of chunks with a query term; scores rounded to 6 places."""
     wanted = query_terms(queries).join(index.terms, "term")
     hits = index.postings.join(F.broadcast(wanted), ["index_key", "term"])  # the queries' terms are few
-    rows = hits.join(index.lengths, ["index_key", "chunk_pos"]).join(F.broadcast(index.stats), "index_key")
+    hits = hits.groupBy("query_id", "index_key", "chunk_pos", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.first("asked").alias("asked"), F.first("idf").alias("idf"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    rows = hits.join(F.broadcast(index.stats), "index_key")
     return rows.groupBy("query_id", "index_key", "chunk_pos").agg(F.round(F.sum(F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
 
 

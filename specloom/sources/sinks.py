@@ -66,8 +66,9 @@ class IndexBundle:
         self.spark, self.path = spark, path.rstrip("/")
 
     def save(self, session_id: str, chunks: DataFrame, index) -> None:
-        keyed = index
-        tables = {"chunks": chunks.withColumnRenamed("chunk_type", "index_key"), "postings": keyed.postings, "lengths": keyed.lengths, "terms": keyed.terms, "stats": keyed.stats}
+        from specloom.operators.retrieval import counted
+
+        tables = {"chunks": chunks.withColumnRenamed("chunk_type", "index_key"), "postings": counted(index.postings), "lengths": index.lengths, "terms": index.terms, "stats": index.stats}
         for name, df in tables.items():
             df.withColumn("session_id", F.lit(session_id)).write.mode("append").partitionBy("session_id", "index_key").parquet(f"{self.path}/{name}")
 
