@@ -130,6 +130,33 @@ def validate(results: DataFrame) -> DataFrame:
     return kept.withColumn("position", F.row_number().over(place) - 1).select("query_id", "position", *RESULT_COLUMNS[1:-1], "is_conflict")
 
 
+def with_empty(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """One row for each question, also those without any record: ``full_results`` in order and how many came from tables and from elsewhere."""
+    columns = [c for c in records.columns if c != "query_id"]
+    ordered = F.sort_array(F.collect_list(F.struct(*columns)))
+    grouped = records.groupBy("query_id").agg(ordered.alias("full_results"), F.count(F.when(F.col("source") == "table", 1)).alias("fast_path_count"), F.count(F.when(F.col("source") != "table", 1)).alias("llm_path_count"))
+    rows = queries.join(grouped, "query_id", "left")
+    some = F.coalesce("full_results", F.expr("array()").cast(dict(grouped.dtypes)["full_results"]))
+    return rows.withColumn("full_results", some).na.fill(0, ["fast_path_count", "llm_path_count"])
+
+
+def summary(responses: DataFrame) -> DataFrame:
+    """Totals of a batch of ``with_empty`` rows: queries, records, fast and other records, records for each query."""
+    n = F.size("full_results")
+    return responses.agg(F.count("*").alias("queries"), F.sum(n).alias("specs"), F.sum("fast_path_count").alias("fast"), F.sum("llm_path_count").alias("other"), F.avg(n).alias("specs_per_query"))
+
+
+def shown_value(value: Column) -> Column:
+    """A value as shown: without '.0' at its end, a dash for none."""
+    return F.coalesce(F.regexp_replace(value, r"\.0$", ""), F.lit("—"))
+
+
+def unit_group(unit: Column) -> Column:
+    """What a unit is shown as."""
+    u = F.lower(unit)
+    return F.when(u.contains("nm"), "nm").when(u.contains("lb-ft"), "lb-ft").when(u.contains("lb-in"), "lb-in").when(u.contains("mm") | u.contains("in"), "length").when(u.contains("deg"), "angle").otherwise("other")
+
+
 def confidence_band(confidence: Column) -> Column:
     """'high' above 0.95, 'medium' above 0.8, else 'low'."""
     return F.when(confidence > 0.95, "high").when(confidence > 0.8, "medium").otherwise("low")

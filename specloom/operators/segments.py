@@ -10,7 +10,7 @@ from specloom.functions.text import clean, retention
 from specloom.operators import procedures, specs, structure
 from specloom.sources.tables import materialise
 
-ORDER = {"table": 0, "inline": 1, "coordinate": 2, "procedure": 3}
+ORDER = {"table": 0, "coordinate": 1, "inline": 2, "procedure": 3}
 
 
 def _tagged(df: DataFrame, source: str) -> DataFrame:
@@ -57,6 +57,11 @@ def deduplicated(segments: DataFrame) -> DataFrame:
     return rows.withColumn("_first", first).withColumn("_n", F.row_number().over(best)).filter("_n = 1").withColumn("seg_seq", F.col("_first")).drop("_first", "_n")
 
 
+def document_tables(docs: DataFrame) -> DataFrame:
+    """(doc_id, page, rows) of documents that bring a column ``tables`` of those found by position."""
+    return docs.select("doc_id", F.explode("tables").alias("t")).select("doc_id", "t.page", "t.rows")
+
+
 def extract(docs: DataFrame, dialect: P.Dialect = P.WORKSHOP, tables: DataFrame | None = None, cleaned: bool = False) -> tuple[DataFrame, DataFrame]:
     """(all segments, spec segments) of (doc_id, text), with the fallback for documents without specs.
 
@@ -83,6 +88,12 @@ def document_counts(docs: DataFrame, segments: DataFrame, specs_: DataFrame, dia
     return base.join(counted, "doc_id", "left").join(spec, "doc_id", "left").na.fill(0, ["total_segments", "procedure_segments", "torque_rows", "spec_segments"])
 
 
+def metadata(docs: DataFrame, segments: DataFrame, specs_: DataFrame, dialect: P.Dialect = P.WORKSHOP) -> DataFrame:
+    """A document's counters, and its segments by type."""
+    by_type = segments.groupBy("doc_id", "content_type").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("content_type", "n")))).alias("segments_by_type"))
+    return document_counts(docs, segments, specs_, dialect).join(by_type, "doc_id", "left")
+
+
 def count_by_type(segments: DataFrame) -> DataFrame:
     return segments.groupBy("content_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "content_type")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import patterns as P
@@ -13,31 +13,64 @@ from specloom.operators import answers, chunks, context, retrieval, segments
 from specloom.plans import backends
 from specloom.plans.history import History
 from specloom.sources import readers, sinks
+from specloom.sources.tables import forgotten, materialise
 
-# fixed values: questions to try the engine with
+# fixed values: the questions of the four demos, with variant and whether specs alone are asked for where these are given
 DEMO_QUERIES = [
-    "shock absorber lower nut torque",
-    "brake caliper bolt torque",
-    "stabilizer bar link nuts",
-    "lower arm forward and rearward nuts",
-    "wheel hub and bearing bolts",
-    "rear driveshaft flange bolts",
-    "tie rod end nut",
-    "U-bolt nut tightening sequence",
-    "halfshaft length specification",
-    "valve stem to TPMS sensor screw",
+    "Torque for brake caliper bolts",
+    "Shock absorber lower nuts 4WD",
+    "Wheel bearing and hub bolt torque",
+    "Stage tightening sequence U-bolt",
+    "Upper ball joint nut torque RWD",
+    "Halfshaft assembled length",
+    "Stabilizer bar link nuts SVT Raptor",
+    "Tie-rod end nut torque",
+    "Lower arm forward rearward nuts",
+    "Wheel speed sensor bolt torque",
 ]
+EXTRACTION_DEMO = [
+    ("Torque for brake caliper bolts", None),
+    ("Shock absorber lower nuts specification", "4WD"),
+    ("Wheel bearing and hub bolt torque", None),
+    ("Stage tightening sequence U-bolt rear", None),
+    ("Upper ball joint nut torque", "RWD"),
+    ("Halfshaft assembled length dimension", None),
+    ("Stabilizer bar link nuts SVT Raptor torque", None),
+    ("Tie-rod end nut torque specification", None),
+]
+RETRIEVAL_DEMO = [
+    ("Torque for brake caliper bolts", None, True),
+    ("Shock absorber lower nuts torque 4WD", "4WD", True),
+    ("How to install lower control arm", None, False),
+    ("Stage tightening sequence U-bolt nuts", None, True),
+    ("Wheel bearing hub bolt torque specification", None, True),
+]
+SUGGESTIONS = [
+    "torque for brake caliper bolts",
+    "shock absorber lower nuts 4WD",
+    "U-bolt tightening sequence stages",
+    "halfshaft assembled length mm",
+    "upper ball joint nut torque RWD",
+    "stabilizer bar link nuts SVT Raptor",
+]
+
+
+def demo(name: str) -> list[tuple[str, str | None, bool]]:
+    """(question, variant, specs alone) of a demo: api, extraction, retrieval or suggestions."""
+    sets = {"api": DEMO_QUERIES, "extraction": EXTRACTION_DEMO, "retrieval": RETRIEVAL_DEMO, "suggestions": SUGGESTIONS}
+    return [(*((x,) if isinstance(x, str) else x), None, True)[:3] if isinstance(x, str) else (*x, True)[:3] for x in sets[name]]
 
 
 @dataclass(frozen=True)
 class Config:
-    """``k``: chunks for an answer, 1 to 20."""
+    """``k``: chunks for an answer, 1 to 20. ``layout_first``: PDFs go through the layout-keeping command before the other readers."""
 
     k: int = 5
     model: str = "llama3.1:8b"
     host: str = "http://localhost:11434"
     generic: bool = False
     with_kgcm: bool = False
+    layout_first: bool = False
 
     def __post_init__(self):
         if not 1 <= self.k <= 20:
@@ -48,8 +81,12 @@ class Config:
 
 
 def index(documents: DataFrame, embedder: backends.Embedder, dialect: P.Dialect = P.WORKSHOP) -> DataFrame:
-    """Chunks of documents with vectors; a document without procedures or specs has fewer chunks, not an error."""
-    every, kept = segments.extract(documents, dialect)
+    """Chunks of documents with vectors; a document without procedures or specs has fewer chunks, not an error.
+
+    The generic dialect adds the rows of tables found by position, a column ``tables``.
+    """
+    tables = segments.document_tables(documents) if dialect is P.GENERIC and "tables" in documents.columns else None
+    every, kept = segments.extract(documents.select("doc_id", "text"), dialect, tables)
     table = chunks.build(every, kept, context.hints(every, kept))
     return table.withColumn("embedding", embedder.documents(F.col("embed_text")))
 
@@ -69,23 +106,28 @@ class Engine:
         self.history = History(self.spark, f"{self.path}/history")
 
     def ingest(self, path: str, session_id: str | None = None) -> str:
-        """Index the text and PDF files at ``path``; returns the session's id."""
+        """Index the text and PDF files at ``path``; returns the session's id. Other and empty files are refused."""
+        readers.check_upload(self.spark, path)
         session_id = session_id or uuid.uuid4().hex
-        docs = readers.read_documents(self.spark, path, generic=self.config.generic)
-        self.add(docs.select("doc_id", "text"), session_id)
+        docs = readers.read_documents(self.spark, path, generic=self.config.generic, layout_first=self.config.layout_first)
+        self.add(docs.select("doc_id", "text", "tables"), session_id)
         return session_id
 
+    def configure(self, **changes) -> Config:
+        """Change the configuration; what was read under the old one is dropped and read again."""
+        self.config = self.config.patched(**changes)
+        self.bundle = sinks.IndexBundle(self.spark, f"{self.path}/index")
+        self.spark.catalog.clearCache()
+        return self.config
+
     def add(self, documents: DataFrame, session_id: str) -> None:
-        """Index (doc_id, text). The session's chunks are numbered across its documents."""
+        """Index (doc_id, text) and, in the generic dialect, tables. The session's chunks are numbered across its documents."""
         dialect = P.GENERIC if self.config.generic else P.WORKSHOP
-        made = index(documents, self.embedder, dialect).persist()
-        try:
-            order = F.row_number().over(_numbering())
-            numbered = made.withColumn("chunk_pos", order - 1).withColumn("chunk_id", F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id"))
-            keyed = numbered.select(F.col("chunk_type").alias("index_key"), "chunk_pos", F.col("embed_text").alias("text"))
-            self.bundle.save(session_id, numbered, retrieval.bm25_index(keyed))
-        finally:
-            made.unpersist()
+        with forgotten():
+            made = numbered(materialise(index(documents, self.embedder, dialect), "session-chunks"))
+            made = made.withColumn("chunk_id", F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id"))
+            keyed = made.select(F.col("chunk_type").alias("index_key"), "chunk_pos", F.col("embed_text").alias("text"))
+            self.bundle.save(session_id, made, retrieval.bm25_index(keyed))
 
     def retrieve(self, queries: DataFrame, session_id: str) -> DataFrame:
         """Chunks for (query_id, query, variant, spec_only, k): both indexes, fused, filtered, the first k."""
@@ -118,13 +160,8 @@ class Engine:
 
     def responses(self, queries: DataFrame, session_id: str) -> DataFrame:
         """One row for each question, also those without any record: results, full_results, metadata."""
-        full = self.answer(queries, session_id)
-        columns = [c for c in full.columns if c not in ("query_id",)]
-        ordered = F.sort_array(F.collect_list(F.struct(*columns)))
-        grouped = full.groupBy("query_id").agg(ordered.alias("full_results"), F.count(F.when(F.col("source") == "table", 1)).alias("fast_path_count"), F.count(F.when(F.col("source") != "table", 1)).alias("llm_path_count"))
-        rows = with_defaults(queries).select("query_id", "query", "variant").join(grouped, "query_id", "left")
-        some = F.coalesce("full_results", F.expr("array()").cast(dict(grouped.dtypes)["full_results"]))
-        out = rows.withColumn("full_results", some).na.fill(0, ["fast_path_count", "llm_path_count"])
+        rows = with_defaults(queries).select("query_id", "query", "variant")
+        out = answers.with_empty(rows, self.answer(queries, session_id))
         short = F.transform("full_results", lambda r: F.struct(*(r[n].alias(n) for n in sinks.COMPACT)))
         return out.select("query_id", "query", "variant", short.alias("results"), "full_results", F.struct(F.size("full_results").alias("total_specs_found"), "fast_path_count", "llm_path_count", F.lit(self.extractor is not None).alias("model")).alias("metadata"))
 
@@ -140,17 +177,23 @@ class Engine:
             got.unpersist()
 
 
-def summary(responses: DataFrame) -> DataFrame:
-    """Totals of a batch: queries, records, fast and other records, records for each query."""
-    n = F.size("full_results")
-    return responses.agg(F.count("*").alias("queries"), F.sum(n).alias("specs"), F.sum("metadata.fast_path_count").alias("fast"), F.sum("metadata.llm_path_count").alias("other"), F.avg(n).alias("specs_per_query"))
-
+def numbered(chunks_: DataFrame) -> DataFrame:
+    """Chunks numbered through all documents of a session for each kind, in the order (doc_id, place): documents'
+    numbers of chunks are summed up, first in ranges of documents, so no task reads all of a large session."""
+    counts = chunks_.groupBy("chunk_type", "doc_id").agg(F.count("*").alias("n"))
+    ranged = materialise(counts.repartitionByRange("chunk_type", "doc_id").withColumn("_range", F.spark_partition_id()), "session-counts")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("chunk_type", "_range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("chunk_type", "_range", F.coalesce(F.sum("n").over(before("chunk_type").orderBy("_range")), F.lit(0)).alias("_above"))
+    inside = F.coalesce(F.sum("n").over(before("chunk_type", "_range").orderBy("doc_id")), F.lit(0))
+    first = ranged.withColumn("_first", inside).join(ranges, ["chunk_type", "_range"]).select("chunk_type", "doc_id", (F.col("_first") + F.col("_above")).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("chunk_type", "doc_id").orderBy("chunk_pos")) - 1
+    return chunks_.withColumn("_own", own).join(first, ["chunk_type", "doc_id"]).withColumn("chunk_pos", (F.col("_first") + F.col("_own")).cast("int")).drop("_first", "_own")
 
-def _numbering():
-    from pyspark.sql import Window
 
-    # a session is one upload: its chunks are few enough to be numbered in one window for each kind
-    return Window.partitionBy("chunk_type").orderBy("doc_id", "chunk_pos")
+def summary(responses: DataFrame) -> DataFrame:
+    """Totals of a batch of ``Engine.responses``."""
+    return answers.summary(responses.select("full_results", "metadata.fast_path_count", "metadata.llm_path_count"))
 
 
 def with_defaults(queries: DataFrame) -> DataFrame:

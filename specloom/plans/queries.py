@@ -204,12 +204,6 @@ def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.hard_split(F.col("text"))).alias("k", "piece"))
 
 
-@query()
-def procedure_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents through the procedure splitter; a test holds it against a plain loop."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.procedure_chunks(F.col("text"))).alias("k", "piece"))
-
-
 # ---- context ----
 
 
@@ -255,13 +249,6 @@ def variant_scan_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "seg_seq", F.col("before.line").alias("before_line"), F.col("before.variant").alias("before_variant"), F.col("before.phrase").alias("before_phrase"), F.col("after.line").alias("after_line"), F.col("after.variant").alias("after_variant"))
 
 
-@query()
-def context_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three lookups with the deferred-step rule; a test holds it against a plain loop."""
-    every, kept = segments.extract(manual.documents(spark, sf_dir))
-    return context.hints(every, kept)
-
-
 # ---- enrichment ----
 
 _SPEC_PREFIX = "concat_ws(' | ', case when section_name <> '' then 'Section: ' || section_name end, case when len(vehicle_variant) > 0 then 'Variant: ' || array_to_string(vehicle_variant, ', ') end, case when subsection_type <> '' then 'Context: ' || subsection_type end, case when comp <> '' then 'Component: ' || comp end)"
@@ -284,13 +271,6 @@ def enriched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.select("doc_id", "seg_seq", chunks.enriched(X.strip(F.col("component"))).alias("embed_text"))
 
 
-@query()
-def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spec and procedure chunks of the manual; tests cover its parts: hints, enrichment and splitting."""
-    every, kept = segments.extract(manual.documents(spark, sf_dir))
-    return chunks.build(every, kept, context.hints(every, kept)).drop("spec_value")
-
-
 @query(from_ctes(f"select 'spec' as chunk_type, count(*) as chunks, floor(avg(length(t))) as avg_chars, max(length(t)) as max_chars from (select {_ENRICH_SQL} as t from (select *, component as comp from dedup))"))
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and lengths of spec chunks without hints."""

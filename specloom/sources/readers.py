@@ -6,7 +6,6 @@ import io
 import subprocess
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 from typing import Protocol
 
 import pyarrow as pa
@@ -185,34 +184,46 @@ def assemble(decoded: DataFrame) -> DataFrame:
     full = lambda r: F.exists(r, lambda c: F.coalesce(strip(c), F.lit("")) != "")
     table = lambda t: F.concat(F.lit("<<TABLE page="), t["page"].cast("string"), F.lit(">>\n"), F.array_join(F.transform(F.filter(t["rows"], full), row), "\n"))
     text = F.concat_ws("\n", F.array_join(F.transform("pages", page), "\n"), F.when(F.size("tables") > 0, F.concat(F.lit(TABLES_MARK + "\n"), F.array_join(F.transform("tables", table), "\n"))))
-    return decoded.select("doc_id", F.element_at(F.split("doc_id", "/"), -1).alias("source_file"), text.alias("text"), F.col("method").alias("extraction_method"), F.size("pages").alias("total_pages"), F.size(table_pages(F.col("pages"))).alias("table_pages"))
+    return decoded.select("doc_id", F.element_at(F.split("doc_id", "/"), -1).alias("source_file"), text.alias("text"), F.col("method").alias("extraction_method"), F.size("pages").alias("total_pages"), F.size(table_pages(F.col("pages"))).alias("table_pages"), "tables")
 
 
 def read_documents(spark: SparkSession, path: str, generic: bool = False, layout_first: bool = False) -> DataFrame:
     """Text and PDF files of a folder or glob as documents, told apart by their first bytes.
 
     ``layout_first``: the ``pdftotext`` command with its layout before the other backends.
-    A PDF that no backend reads takes the text of a file beside it: same name with .txt.
+    A PDF that no backend reads takes the text of the first file beside it that has one of the
+    names of ``companion``. Tables found by position come along in ``tables``.
     """
     files = spark.read.format("binaryFile").load(path)
     backends = GENERIC_BACKENDS if generic else WORKSHOP_BACKENDS
     backends = (PdfToText(layout=True, least=0), *backends) if layout_first else backends
     pdfs = assemble(decode_pdfs(files.filter(is_pdf(F.col("content"))), backends, ENOUGH if generic else 0, generic))
     texts = _texts(files.filter(~is_pdf(F.col("content"))))
-    stem = F.regexp_replace(F.regexp_replace("doc_id", r"(\.pdf)?\.txt$", ""), r"\.pdf$", "")
-    beside = texts.select(stem.alias("_stem"), F.col("text").alias("_beside")).groupBy("_stem").agg(F.first("_beside").alias("_beside"))
-    pdfs = pdfs.withColumn("_stem", stem).join(beside, "_stem", "left").withColumn("text", F.when(F.col("extraction_method") == "none", F.coalesce("_beside", "text")).otherwise(F.col("text")))
-    out = ["doc_id", "source_file", "text", "extraction_method", "total_pages"]
-    plain = texts.select("doc_id", "source_file", "text", F.lit("text").alias("extraction_method"), F.lit(0).alias("total_pages"))
+    unread = pdfs.filter("extraction_method = 'none'").select("doc_id", F.posexplode(companion(F.col("doc_id"))).alias("_rank", "_path"))
+    beside = unread.join(texts.select(F.col("doc_id").alias("_path"), F.col("text").alias("_beside")), "_path").groupBy("doc_id").agg(F.min_by("_beside", "_rank").alias("_beside"))
+    pdfs = pdfs.join(beside, "doc_id", "left").withColumn("text", F.coalesce("_beside", "text"))
+    out = ["doc_id", "source_file", "text", "extraction_method", "total_pages", "tables"]
+    plain = texts.select("doc_id", "source_file", "text", F.lit("text").alias("extraction_method"), F.lit(0).alias("total_pages"), F.lit(None).cast(dict(pdfs.dtypes)["tables"]).alias("tables"))
     return pdfs.select(*out).unionByName(plain)
 
 
+def check_upload(spark: SparkSession, path: str) -> None:
+    """Refuse files that are neither .pdf nor .txt, and empty ones; only names and sizes are read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    bad = files.filter(~F.lower("path").rlike(r"\.(pdf|txt)$") | (F.col("length") == 0)).first()
+    if bad is not None:
+        raise ValueError(f"{'empty' if bad['length'] == 0 else 'neither PDF nor text'}: {bad['path']}")
+
+
 SEGMENT_JSON = "text string, content_type string, section_id string, section_name string, subsection_type string, page_number int, line_number int, component string, spec_value struct<value_nm:double,value_lbft:double,value_lbin:double,value_kgcm:double,value_mm:double,value_deg:double,raw:string>, vehicle_variant array<string>, stage_number int, is_safety_critical boolean, has_condition boolean, confidence double"
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments from JSON arrays, a document for each file; what is missing takes its default."""
-    rows = spark.read.schema(SEGMENT_JSON).option("multiLine", True).json(path).withColumn("doc_id", F.input_file_name())
+def read_segments(spark: SparkSession, path: str, multi_line: bool = True, more: str = "") -> DataFrame:
+    """Segments from JSON arrays, a document for each file; what is missing takes its default.
+
+    ``multi_line``: each file is one array; without, JSON lines. ``more``: further columns, as in DDL.
+    """
+    rows = spark.read.schema(", ".join(x for x in (SEGMENT_JSON, more) if x)).option("multiLine", multi_line).json(path).withColumn("doc_id", F.input_file_name())
     rows = rows.withColumn("seg_seq", F.monotonically_increasing_id())
     defaults = {"text": "", "content_type": "general_text", "section_id": "", "section_name": "", "subsection_type": "", "page_number": 0, "line_number": 0, "component": "", "stage_number": 0, "is_safety_critical": False, "has_condition": False, "confidence": 1.0}
     return rows.na.fill(defaults).withColumn("vehicle_variant", F.coalesce("vehicle_variant", F.array().cast("array<string>")))
@@ -224,7 +235,8 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("query_id"), "query")
 
 
-def companion(path: str) -> list[str]:
-    """Names under which a PDF's text may lie beside it."""
-    p = Path(path)
-    return [str(p.with_suffix(".txt")), f"{path}.txt"]
+def companion(path: Column) -> Column:
+    """The paths beside a PDF under which its text may lie, in the order in which they are tried."""
+    folder, stem = F.regexp_replace(path, r"[^/]*$", ""), F.regexp_replace(path, r"\.[^./]*$", "")
+    # fixed values: the endings and names of text files
+    return F.array(F.concat(stem, F.lit(".txt")), F.concat(stem, F.lit("_cleaned.txt")), F.concat(folder, F.lit("extracted_text_cleaned.txt")), F.concat(folder, F.lit("extracted_text.txt")))

@@ -53,6 +53,11 @@ def write_segments(segments: DataFrame, path: str) -> None:
     segments.write.partitionBy("doc_id").json(path)
 
 
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """A JSON line for each document."""
+    rows.write.json(path)
+
+
 def write_text(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").option("lineSep", "\n").text(path)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,8 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the driver's Python ends."""
+    """A fresh path in the shared folder; it is deleted with the scope of ``forgotten``, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
+        return path
 
     def remove():
         try:
@@ -38,6 +43,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def forgotten():
+    """Tables that are written inside are deleted at the end: what reads them must have run by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            delete(spark, path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it is stored."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
