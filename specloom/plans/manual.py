@@ -1,4 +1,6 @@
-"""A synthetic manual over ``nation`` and ``part``: one document for each region, in Spark and in SQL.
+"""A synthetic manual over ``nation`` and ``part``: documents of a region's sections, in Spark and in SQL.
+
+Their number grows with the parts, so windows over one document spread over as many tasks.
 
 Values are whole numbers, so no engine's way of writing doubles matters. The same texts are
 made by ``documents`` and, as the common table expressions ``raw`` … ``segs``, for DuckDB.
@@ -38,11 +40,13 @@ PART_LINES = [
 
 
 def lines_sql(string: str = "string", div: str = "cast(floor(p_size * 738 / 1000) as int)") -> str:
-    """SQL of (doc_id, sec, pos, line) over views nation and part."""
-    parts = [f"select n_regionkey as doc_id, n_nationkey as sec, {pos} as pos, {line} as line from nation" for pos, line in SECTION_LINES]
-    parts += [f"select n_regionkey as doc_id, n_nationkey as sec, {pos} as pos, {line} as line from fitted where {where}" for pos, line, where in PART_LINES]
-    fitted = f"select n.*, p.*, {div} as lbft from part p join nation n on n.n_nationkey = p.p_partkey % 25"
-    return f"with fitted as ({fitted}) " + " union all ".join(parts).replace(" as string", f" as {string}")
+    """SQL of (doc_id, sec, pos, line) over views nation and part: a region's parts, four hundred numbers to a document."""
+    doc = "cast(n_regionkey + 5 * floor(p_partkey / 400) as int) as doc_id"
+    parts = [f"select doc_id, n_nationkey as sec, {pos} as pos, {line} as line from heads" for pos, line in SECTION_LINES]
+    parts += [f"select doc_id, n_nationkey as sec, {pos} as pos, {line} as line from fitted where {where}" for pos, line, where in PART_LINES]
+    both = "part p join nation n on n.n_nationkey = p.p_partkey % 25"
+    fitted = f"select n.*, p.*, {doc}, {div} as lbft from {both}"
+    return f"with fitted as ({fitted}), heads as (select distinct n.*, {doc} from {both}) " + " union all ".join(parts).replace(" as string", f" as {string}")
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text): each region's lines joined."""
+    """(doc_id, text): each document's lines joined."""
     rows = raw_lines(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sec", "pos", "line"))).alias("l"))
     return rows.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
