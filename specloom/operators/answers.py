@@ -75,7 +75,8 @@ def fallback(chunks: DataFrame) -> DataFrame:
     once = Window.partitionBy("query_id", F.lower("component"), "unit", "value").orderBy(*order)
     imp = imp.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n").withColumn("second", F.lit(1))
     rows = kept.select(*base, "component", "value", "unit", "confidence").withColumn("second", F.lit(0)).unionByName(imp)
-    seq = F.lit(FAR * FAR) + ((F.col("place") * 4096 + F.col("ln")) * 4096 + F.col("k") * 2 + F.col("second")).cast("long")
+    # behind all table records; room for a million chunks, 16 million lines of each and 65,536 matches on a line
+    seq = F.lit(1 << 61) + F.shiftleft(F.col("place").cast("long"), 41) + F.shiftleft(F.col("ln").cast("long"), 17) + F.col("k") * 2 + F.col("second")
     given = {"spec_type": F.lit("Torque"), "vehicle_variant": no_variants(), "is_safety_critical": F.lit(False), "stage_number": F.lit(0), "source": F.lit("regex_fallback"), "seq": seq}
     return rows.select(*(given.get(n, F.col(n)).alias(n) for n in RESULT_COLUMNS))
 

@@ -27,17 +27,24 @@ class HashEmbedder:
     """Signed feature hashing of the tokens, unit length, in DataFrame expressions: the same in every run."""
 
     def __init__(self, dim: int = 64):
+        if not 1 <= dim <= 200:
+            raise ValueError("dim: 1 to 200")
         self.dim = dim
 
     def documents(self, text: Column) -> Column:
-        place = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(self.dim)).cast("int")
-        sign = lambda t: F.when(F.substring(F.md5(t), 9, 1) < "8", 1.0).otherwise(-1.0)
-        hashed = F.transform(tokens(text), lambda t: F.struct(place(t).alias("i"), sign(t).alias("s")))
-        summed = lambda h: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.aggregate(F.filter(h, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-        vector = F.get(F.transform(F.array(hashed), summed), F.lit(0))
+        """Each token is one letter, by its place, in a string for either sign; a place's sum is how often its letter stands there."""
+        let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+        letter = lambda i: F.char(i + 48)
+        place = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(self.dim))
+        spelt = lambda hs: F.array_join(F.transform(hs, lambda h: letter(place(h))), "")
+        low = lambda h: F.substring(h, 9, 1) < "8"
+        often = lambda s, i: F.length(s) - F.length(F.replace(s, letter(i), F.lit("")))
+        summed = lambda both: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.dim - 1).cast("long")), lambda i: (often(both["plus"], i) - often(both["minus"], i)).cast("double"))
+        signs = lambda hs: F.struct(spelt(F.filter(hs, low)).alias("plus"), spelt(F.filter(hs, lambda h: ~low(h))).alias("minus"))
+        vector = let(let(F.transform(tokens(text), F.md5), signs), summed)
         norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        unit = lambda v: F.transform(v, lambda x: (x / F.greatest(norm(v), F.lit(1e-12))).cast("float"))
-        return F.get(F.transform(F.array(vector), unit), F.lit(0))
+        unit = lambda v: let(norm(v), lambda n: F.transform(v, lambda x: (x / F.greatest(n, F.lit(1e-12))).cast("float")))
+        return let(vector, unit)
 
     def queries(self, text: Column) -> Column:
         return self.documents(text)
