@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that it can express: the rules of ``quality`` and ``chat`` over words, lines and strings."""
+"""DuckDB SQL of the queries that it can express: rules over words, lines and strings, and all windows, pairs and byte strings as rows."""
 
 # fixed values: white space between words, and the windows' length as in ``quality``
 _BLANK = r"[ \t\n\x0B\f\r]"
@@ -30,3 +30,58 @@ told as (select conv_id, bool_or(odd) as escaped, count(*) as n_turns, string_ag
  coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss, sum(chars) as chars, sum(marks) as marks from seen group by conv_id)
 select conv_id, n_turns, sha256(told) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
  cast(chars + case when escaped then marks else 0 end as bigint) as formatted_chars, escaped from told"""
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
+
+ANCHORS = rf"""with d as (select doc_id, {_WORDS} as w from documents),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+wins as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+hits as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by md5(win)) as first from wins) where first < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from hits),
+removed as (select doc_id, count(*) as n from gone group by all),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from words anti join gone using (doc_id, i) group by all)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join removed using (doc_id) left join kept using (doc_id)"""
+
+# a word's place: what stands before it are words and runs of what is no word character
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NO_WORD = r"\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}"
+
+AUTOMATON = rf"""with d as (select doc_id, {_LOW} as t from documents),
+dw as (select *, regexp_extract_all(t, '[^{_NO_WORD}]+') as w, regexp_extract_all(t, '[{_NO_WORD}]+') as gaps, cast(regexp_matches(t, '^[{_NO_WORD}]') as int) as lead from d),
+items as (select item_id, regexp_extract_all({_LOW}, '[^{_NO_WORD}]+') as w from benchmark where item_id is not null),
+pats as (select distinct item_id, win, len(win) as n from (select item_id, w[i:i + least(10, len(w)) - 1] as win from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0))),
+sizes as (select distinct n from pats),
+wins as (select doc_id, i, n, w[i:i + n - 1] as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, sizes where len(w) >= n)),
+hits as (select doc_id, i, wins.n as n, item_id from wins join pats using (win)),
+hit as (select distinct doc_id, unnest(range(i, i + n)) as i from hits),
+runs as (select doc_id, min(i) as a, max(i) as b from (select doc_id, i, i - row_number() over (partition by doc_id order by i) as g from hit) group by doc_id, g),
+places as (select r.doc_id, sum(len(array_to_string(w[a:b], '')) + len(array_to_string(gaps[a + lead:b - 1 + lead], ''))) as chars, count(*) as n from runs r join dw using (doc_id) group by all),
+n_hits as (select doc_id, count(*) as n from hit group by all),
+who as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by all)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(h.n, 0) as bigint) as n_hit, cast(coalesce(who.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated,
+ cast(coalesce(p.n, 0) as bigint) as n_spans, cast(coalesce(chars, 0) as bigint) as span_chars from dw left join n_hits h using (doc_id) left join who using (doc_id) left join places p using (doc_id)"""
+
+FOREST = rf"""with recursive d as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
+nodes as (select md5(t) as node, any_value(w) as w, min(doc_id) as least, count(*) as n from d group by all),
+shingles as (select distinct node, md5(array_to_string(w[i:i + 4], ' ')) as s from (select node, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from nodes where len(w) > 0)),
+sizes as (select node, count(*) as k from shingles group by all),
+pairs as (select a.node as x, b.node as y, count(*) as shared from shingles a join shingles b on a.s = b.s and a.node <> b.node group by all),
+links as (select x, y from pairs join sizes p on p.node = x join sizes q on q.node = y where 5 * shared >= 4 * (p.k + q.k - shared)),
+reach as (select node as x, node as y from nodes union select r.x, l.y from reach r join links l on r.y = l.x),
+classes as (select r.x as node, min(m.least) as class_id from reach r join nodes m on m.node = r.y group by all),
+degree as (select l.x as node, sum(m.n) as n from links l join nodes m on m.node = l.y group by all)
+select doc_id, class_id, cast(copies + coalesce(degree.n, 0) - 1 as bigint) as n_links from (select doc_id, md5(t) as node from d) join (select node, n as copies from nodes) using (node) join classes using (node) left join degree using (node)"""
+
+# bytes as pairs of hexadecimal digits; a window is cut from a block of twice its length, so no cut walks through a long text
+REPEATED_BYTES = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+blocks as (select doc_id, b, len(h) // 2 as n, substr(h, 800 * b + 1, 1600) as block from (select doc_id, h, unnest(range(0, len(h) // 800 + 1)) as b from d where len(h) >= 800)),
+wins as (select doc_id, i, md5(substr(block, 2 * j + 1, 800)) as k from (select doc_id, block, n, 400 * b + j as i, j from blocks, range(0, 400) as r(j)) where i + 400 <= n),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as n from wins) where n > 1),
+edges as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i), -401) + 400 as new from twice),
+spans as (select doc_id, s, min(i) as a, max(i) + 400 as b from (select doc_id, i, sum(cast(new as int)) over (partition by doc_id order by i) as s from edges) group by all),
+gaps as (select doc_id, b as x, coalesce(lead(a) over (partition by doc_id order by a), 1000000000) as y from spans union all select doc_id, 0, min(a) from spans group by doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as t from gaps join d using (doc_id) group by all),
+removed as (select doc_id, sum(b - a) as n, count(*) as k from spans group by all)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, cast(coalesce(k, 0) as bigint) as n_spans, sha256(unhex(coalesce(t, h))) as kept_sha256
+ from d left join removed using (doc_id) left join kept using (doc_id)"""

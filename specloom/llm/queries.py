@@ -69,7 +69,8 @@ def op8_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from specloom.llm import decontaminate
 
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated", "spans")
+    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.digest(F.col("items")).alias("items_sha256"), "contaminated", F.size("spans").cast("long").alias("n_spans"), chars.alias("span_chars"))
 
 
 def op3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +103,10 @@ def op10_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove_repeats(read(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_seen")
 
 
-QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op6_pfair, op7_ppm, op8_automaton, op9_forest, op10_suffix_family, pipeline)}
-SQL: dict[str, str] = {"op2_cascade": oracles.CASCADE, "op4_chat": oracles.CHAT}
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op10_suffix_family`` without the column that SQL cannot express."""
+    return op10_suffix_family(spark, sf_dir).drop("longest_seen")
+
+
+QUERIES = {f.__name__: f for f in (op1_repair, op2_cascade, op3_lengths, op4_chat, op5_anchors, op6_pfair, op7_ppm, op8_automaton, op9_forest, op10_suffix_family, pipeline, repeated_bytes)}
+SQL: dict[str, str] = {"op2_cascade": oracles.CASCADE, "op4_chat": oracles.CHAT, "op5_anchors": oracles.ANCHORS, "op8_automaton": oracles.AUTOMATON, "op9_forest": oracles.FOREST, "repeated_bytes": oracles.REPEATED_BYTES}
