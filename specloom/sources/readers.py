@@ -208,11 +208,16 @@ def read_documents(spark: SparkSession, path: str, generic: bool = False, layout
 
 
 def check_upload(spark: SparkSession, path: str) -> None:
-    """Refuse files that are neither .pdf nor .txt, and empty ones; only names and sizes are read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    bad = files.filter(~F.lower("path").rlike(r"\.(pdf|txt)$") | (F.col("length") == 0)).first()
+    """Refuse files that are neither .pdf nor .txt, and an upload without any content; only names are read.
+
+    Empty files beside others have no rows and so no documents.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    bad = files.filter(~F.lower("path").rlike(r"\.(pdf|txt)$")).first()
     if bad is not None:
-        raise ValueError(f"{'empty' if bad['length'] == 0 else 'neither PDF nor text'}: {bad['path']}")
+        raise ValueError(f"neither PDF nor text: {bad['path']}")
+    if files.isEmpty():
+        raise ValueError(f"empty: {path}")
 
 
 SEGMENT_JSON = "text string, content_type string, section_id string, section_name string, subsection_type string, page_number int, line_number int, component string, spec_value struct<value_nm:double,value_lbft:double,value_lbin:double,value_kgcm:double,value_mm:double,value_deg:double,raw:string>, vehicle_variant array<string>, stage_number int, is_safety_critical boolean, has_condition boolean, confidence double"
