@@ -31,7 +31,7 @@ SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.in
 SHARD_DDL = "part int, shard int, n_docs long, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, doc_symbols binary, vocab int, rules binary, rule_lengths binary, symbol_bytes int, symbols binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 4, per_round: int = 2048, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 3, per_round: int = 4096, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair. ``ends``: where each document's ids end; no pair spans two documents.
 
     In each round the ``per_round`` most frequent pairs with ``least`` occurrences or more
