@@ -79,7 +79,7 @@ def from_files(df: DataFrame) -> bool:
 class Layout:
     """Documents with a stable chunk, and how many hash partitions suit their size."""
 
-    def __init__(self, docs: DataFrame, columns: dict[str, Column], chunk_bytes: int = 12 << 20, part_bytes: int = 8 << 20):
+    def __init__(self, docs: DataFrame, columns: dict[str, Column], chunk_bytes: int = 8 << 20, part_bytes: int = 8 << 20):
         """``columns``: names and expressions of what the chunks need. ``chunk_bytes``: text in a
         chunk, about; ``part_bytes``: input bytes for each hash partition, about."""
         slim = docs.select(*(c.alias(n) for n, c in columns.items()))

@@ -92,6 +92,13 @@ def _sum(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return (k[at], np.add.reduceat(n[order], at)) if len(at) else (k, n)
 
 
+def _add(found: list[tuple[np.ndarray, np.ndarray]], more: tuple[np.ndarray, np.ndarray]) -> None:
+    """Append counts, and sum up what has gathered once it is twice what was left by the last sum."""
+    found.append(more)
+    if len(found) > 2 and sum(len(k) for k, _ in found[1:]) > len(found[0][0]) + (1 << 17):
+        found[:] = [_sum(found)]
+
+
 def _range_of(grams: np.ndarray, parts: int) -> np.ndarray:
     """The trie range of each gram: by its context's last bytes, one more than the orders that all ranges share."""
     return (mix(grams >> np.uint64(8) & np.uint64((1 << 8 * (SHARED_ORDER + 1)) - 1), 11) % np.uint64(parts)).astype(np.int64)
@@ -103,9 +110,9 @@ def _emit(order: int, folds: int, held: int, word_parts: int, gram_parts: int):
         for t in by_chunk(batches):
             words, grams, chunk = [], [], t.column("chunk")[0].as_py()
             for _, x in _pieces(t, folds, held):
-                words.append(_count(x.words.ids, ~x.held[x.words.doc]))
-                words.append((END_WORD, np.array([(~x.held).sum()])))
-                grams.append(_count(x.grams(order), ~x.held[x.doc]))
+                _add(words, _count(x.words.ids, ~x.held[x.words.doc]))
+                _add(words, (END_WORD, np.array([(~x.held).sum()])))
+                _add(grams, _count(x.grams(order), ~x.held[x.doc]))
             out: list[list] = [[], [], [], [], []]
             keys, n = _sum(words)
             for part, s in split_parts(keys, word_parts):
