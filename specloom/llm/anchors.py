@@ -62,7 +62,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 def _pieces(t: pa.Table) -> Iterator[tuple[pa.Table, Words, np.ndarray]]:
     """(rows, their words, each word's document id) of small runs of rows."""
-    for at, n in slices(t, "text"):
+    for at, n in slices(t, "text", 300_000):
         piece = t.slice(at, n)
         words = Words(*text_bytes(piece.column("text")))
         yield piece, words, numbers(piece.column("doc_id"), NEVER)[words.doc]
