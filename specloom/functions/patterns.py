@@ -79,10 +79,11 @@ GENERIC_VERB_FIRST = r"(?i)^(install|tighten|torque|apply|check)"
 GENERIC_LINE_MARK = r"^[z•\-\*]\s+|^\d+\.\s+"
 TABLE_CELL_UNIT = r"(?i)\b(?:N[·.]?m|Nm|kgf[·.]?cm|ft[·.]?lbf?|lb[·.]?ft|lb[·.]?in)\b"
 
-TRIM_NAMES = ["SVT Raptor", "Raptor", "FX4", "Lariat", "Platinum", "Limited", "King Ranch", "Tremor", "STX", "XLT"]
-TRIM = r"\b(" + "|".join(TRIM_NAMES) + r")\b"
-NOUNS = ["nut", "bolt", "screw", "rod", "arm", "bar", "bearing", "mount", "plate", "bracket", "sensor", "pin", "shaft", "cap", "stud", "assembly", "link"]
-PHRASE = r"(?i)(?:not\s+tighten|tighten|install|remove|torque)\s+(?:the\s+)?([a-zA-Z][a-zA-Z\s]{2,30}?(?:" + "|".join(NOUNS) + r")s?)\b"
+TRIM = r"\b(SVT Raptor|Raptor|FX4|Lariat|Platinum|Limited|King Ranch|Tremor|STX|XLT)\b"
+PHRASE = (
+    r"(?i)(?:not\s+tighten|tighten|install|remove|torque)\s+(?:the\s+)?([a-zA-Z][a-zA-Z\s]{2,30}?"
+    r"(?:nut|bolt|screw|rod|arm|bar|bearing|mount|plate|bracket|sensor|pin|shaft|cap|stud|assembly|link)s?)\b"
+)
 PARENTHESIS = r"\(([A-Za-z][^)]{2,39})\)"
 SPEC_TYPES = ["torque_table_row", "inline_torque", "multi_stage_torque", "dimensional_spec"]
 SPEC_NAMES = {"torque_table_row": "Torque", "multi_stage_torque": "Torque", "dimensional_spec": "Dimension", "inline_torque": "Torque"}
