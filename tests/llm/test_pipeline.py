@@ -61,3 +61,34 @@ def test_run_gives_the_same(spark, folder):
     path, *_ = folder
     one = sorted(tuple(r) for r in corpus_pipeline.run(spark, path).collect())
     assert one == sorted(tuple(r) for r in queries.pipeline(spark, path).collect()) and one
+
+
+def through(spark, docs, bench, path):
+    """The stages one after the other, as the driver runs them; the first four keep the columns."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    bench.write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(path)).write.parquet(f"{path}/{k}")
+        docs = spark.read.parquet(f"{path}/{k}")
+        assert k == 4 or docs.columns == columns
+    return docs.collect()
+
+
+BENCH = "item_id long, text string"
+
+
+def test_no_documents(spark, tmp_path):
+    assert through(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([(1, "a b c")], BENCH), tmp_path) == []
+
+
+def test_no_benchmark_null_ids_and_clashing_columns(spark, tmp_path):
+    """Columns named like the operators' own; null and repeated ids; repeated rows; null sources."""
+    base = [t for t in texts(33, 40, 120) if len(set(t.split())) > 40][:12]
+    rows = [(None if i % 5 == 0 else i // 2, t, None if i % 3 else "s", 1, "k", b"x", 2, "c", 3.0) for i, t in enumerate([*base, base[0], base[3], None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, chunk long, node string, signature binary, n_words int, _c0 string, slot double")
+    got = through(spark, docs, spark.createDataFrame([], BENCH), tmp_path)
+    want = near([(k, t) for k, t in enumerate(base)])
+    assert len(got) == len({c for _, c, _ in want})
+    assert sum(r.doc_id is None for r in got) == sum(1 for k in {int(c) for _, c, _ in want} if k % 5 == 0)
