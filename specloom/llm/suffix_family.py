@@ -55,7 +55,7 @@ class Sampling:
     """What is indexed. Any repeat of ``reach + core - 1`` bytes has an anchor whose core lies inside it."""
 
     length: int = 400
-    reach: int = 200
+    reach: int = 128
     core: int = 64
 
     def __post_init__(self) -> None:
@@ -478,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, reach: int | None = None,
     indexed suffixes whose first ``core`` bytes stand elsewhere too.  The documents go through a family
     of indexes in ``batches``; the last one is only scanned, as nothing comes after it.
     """
-    reach = reach or max(1, min(200, length // 2))
+    reach = reach or max(1, min(128, length // 2))
     spark, by = docs.sparkSession, Sampling(length, reach, core or min(64, length - reach + 1))
     layout = Layout(docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}, part_bytes=part_bytes)
     index = SuffixIndex(spark, new_path(spark, "suffix-index"), by, max(3, (layout.parts - 1).bit_length()))
