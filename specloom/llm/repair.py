@@ -7,7 +7,7 @@ round, until no pair has 24 occurrences in the shard.  Stored are the rules, eac
 the packed symbols, and where each document begins, so a document, or a run of its ids,
 is decoded without the rest.  ``read_documents`` decodes all; ``decode_range`` a part.
 
-Order: ascending ``doc_id`` (null first, equal ids by their text). A null or empty text
+Order: ascending ``doc_id`` (null first, equal ids by a hash of their text). A null or empty text
 is the end id alone. No rows: no shards. Repeated rows are documents of their own. Long
 texts: a shard always holds whole documents, so it is as large as its largest one.
 Other columns of the input, of whatever name, are not read.
@@ -222,7 +222,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            for at, n in slices(t, "text"):
+            for at, n in slices(t, "text", 1_000_000):
                 piece = t.slice(at, n)
                 ids, counts = enc.encode(piece.column("text"))
                 ends = np.cumsum(counts)
@@ -241,8 +241,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
         if held:
             yield close()
 
-    # xxhash64(text) only spreads rows whose keys are equal over several ranges
-    dealt = slim.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie", "text")
+    # by xxhash64(text), rows whose keys are equal spread over several ranges and have an order: theirs is free among equal texts
+    dealt = slim.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
     shards = dealt.select("doc_id", "text").mapInArrow(run, SHARD_DDL)
     path = path or new_path(spark, "token-shards")
     shards.write.parquet(path)
@@ -296,10 +296,11 @@ def read_documents(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 symbols, rules, lengths = _grammar(row)
                 ids = expand(symbols, row["vocab"], rules, lengths).astype("<u4", copy=False)
+                raw = memoryview(ids).cast("B") if len(ids) else b""
                 counts = np.frombuffer(row["doc_lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(counts)
                 cuts = list(zip((ends - counts).tolist(), ends.tolist()))
-                columns = [_doc_ids(row), (row["start"] + ends - counts).tolist(), counts.tolist(), [zlib.crc32(ids[a:b].tobytes()) for a, b in cuts], np.diff(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64), prepend=0).tolist()]
+                columns = [_doc_ids(row), (row["start"] + ends - counts).tolist(), counts.tolist(), [zlib.crc32(raw[4 * a : 4 * b]) for a, b in cuts], np.diff(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64), prepend=0).tolist()]
                 columns += [[ids[a:b].tolist() for a, b in cuts]] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
