@@ -128,6 +128,25 @@ def fuse_across(spec: DataFrame, procedure: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w) - 1).drop("_t")
 
 
+#: Chunks fetched from each kind's index, times the number wanted.
+WIDE = {"spec": 4, "procedure": 2}
+
+
+def search(table: DataFrame, index: Bm25Index, asked: DataFrame, k: int) -> DataFrame:
+    """Both kinds' rankings, each fused within its index and then across: query_id, chunk_type, chunk_pos, rank, final_rrf, place.
+
+    ``table``: (chunk_type, chunk_pos, embedding); ``index``: keyed by chunk type; ``asked``: (query_id, query, qvec, spec_only):
+    questions for specs alone skip procedures.
+    """
+    ranked = {}
+    for kind, times in WIDE.items():
+        mine = Bm25Index(*(df.filter(F.col("index_key") == kind) for df in (index.postings, index.lengths, index.terms, index.stats)))
+        own = asked if kind == "spec" else asked.filter(~F.coalesce("spec_only", F.lit(False)))
+        vectors = table.filter(F.col("chunk_type") == kind).withColumnRenamed("chunk_type", "index_key")
+        ranked[kind] = fuse_within(dense_top(vectors, own, times * k), bm25_top(mine, own, times * k), times * k)
+    return fuse_across(ranked["spec"], ranked["procedure"]).withColumnRenamed("index_key", "chunk_type")
+
+
 def keep_variant(fused: DataFrame, variant: Column) -> DataFrame:
     """After ranking: chunks without variants, or with the one asked for; all if none is asked for."""
     v = F.col("vehicle_variant")

@@ -113,6 +113,10 @@ class Engine:
         self.add(docs.select("doc_id", "text", "tables"), session_id)
         return session_id
 
+    def health(self) -> dict:
+        """Whether sessions can be read, how many there are, and whether a model answers."""
+        return {"status": "ok", "sessions": len(self.bundle.sessions()), "model": bool(self.extractor and self.extractor.online())}
+
     def configure(self, **changes) -> Config:
         """Change the configuration; what was read under the old one is dropped and read again."""
         self.config = self.config.patched(**changes)
@@ -134,13 +138,7 @@ class Engine:
         table, bm25 = self.bundle.load(session_id)
         k = self.config.k
         asked = queries.withColumn("qvec", self.embedder.queries(F.col("query")))
-        ranked = {}
-        for kind, wide in (("spec", 4 * k), ("procedure", 2 * k)):
-            mine = retrieval.Bm25Index(*(df.filter(F.col("index_key") == kind) for df in (bm25.postings, bm25.lengths, bm25.terms, bm25.stats)))
-            own = asked if kind == "spec" else asked.filter(~F.coalesce("spec_only", F.lit(False)))
-            vectors = table.filter(F.col("chunk_type") == kind).withColumnRenamed("chunk_type", "index_key")
-            ranked[kind] = retrieval.fuse_within(retrieval.dense_top(vectors, own, wide), retrieval.bm25_top(mine, own, wide), wide)
-        fused = retrieval.fuse_across(ranked["spec"], ranked["procedure"]).withColumnRenamed("index_key", "chunk_type")
+        fused = retrieval.search(table, bm25, asked, k)
         rows = fused.join(table.drop("session_id", "embedding"), ["chunk_type", "chunk_pos"]).join(F.broadcast(queries.select("query_id", "query", "variant", "force_llm")), "query_id")
         return retrieval.first_k(retrieval.relevant(retrieval.keep_variant(rows, F.col("variant"))), k)
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from specloom.functions import patterns as P
 from specloom.functions import text as X
-from specloom.operators import answers, chunks, context, segments, specs, structure
-from specloom.plans import manual
-from specloom.plans.queries import _ENRICH_SQL, _FAST0, _PACK, _PH, _SENTENCES, _V, _fast, _generic_flat, _segments, flat, query, read
+from specloom.operators import answers, chunks, context, retrieval, segments, specs, structure
+from specloom.plans import backends, manual
+from specloom.plans.queries import _BM25, _DENSE, _ENRICH_SQL, _FAST0, _PACK, _PH, _SENTENCES, _V, _fast, _generic_flat, _queries, _segments, flat, query, read
 from specloom.sources import readers, sinks
 from specloom.sources.tables import new_path
 
@@ -303,3 +303,47 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(k % 8 == 0, "Nm").when(k % 4 == 0, "lb-ft").when(k % 4 == 1, "mm").when(k % 4 == 2, "degrees").otherwise("pieces")
     sure = F.when(size > 40, 0.96).when(size > 20, 0.95).otherwise(0.8)
     return read(spark, sf_dir, "part").select("p_partkey", answers.shown_value(value).alias("shown"), answers.unit_group(unit).alias("unit_group"), answers.confidence_band(sure).alias("band"))
+
+
+# ---- search over two kinds of chunks ----
+
+
+@query(
+    f"""with {_BM25}, {_DENSE}, kinds as (select * from (values ('en', 'spec', 20, 0), ('fr', 'procedure', 10, 1)) as t(index_key, chunk_type, wide, t)),
+found as (select query_id, chunk_type, t, wide, chunk_pos, min(dr) as dr, min(sr) as sr from (select query_id, index_key, chunk_pos, rank as dr, null as sr from dense union all select query_id, index_key, chunk_pos, null, rank from bm25) join kinds using (index_key)
+ where coalesce(dr, sr) < wide and (t = 0 or query_id % 2 = 0) group by all),
+fused as (select * from (select *, row_number() over (partition by query_id, t order by round(coalesce(1.0 / (61 + dr), 0.0) + coalesce(1.0 / (61 + sr), 0.0), 6) desc, coalesce(dr, 1073741824), coalesce(sr, 1073741824)) - 1 as rank from found) where rank < wide)
+select query_id, chunk_type, chunk_pos, place from (select *, cast(row_number() over (partition by query_id order by rank, t) - 1 as int) as place from fused) where place < 5"""
+)
+def two_kinds_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five chunks for each question: 4 k fetched from one index, 2 k from the other; every second question skips the other."""
+    vectors = read(spark, sf_dir, "embeddings")
+    kind = F.when(F.col("lang") == "en", "spec").when(F.col("lang") == "fr", "procedure")
+    docs = read(spark, sf_dir, "documents").select(kind.alias("chunk_type"), F.col("doc_id").alias("chunk_pos"), "text", (F.col("doc_id") % vectors.count()).alias("vec_id")).filter("chunk_type is not null")
+    index = retrieval.bm25_index(docs.select(F.col("chunk_type").alias("index_key"), "chunk_pos", "text"))
+    table = docs.join(vectors.select("vec_id", "embedding"), "vec_id").select("chunk_type", "chunk_pos", "embedding")
+    asked = _queries(spark).withColumn("spec_only", F.col("query_id") % 2 == 1).withColumn("vec_id", F.col("query_id") * 7 + 3).join(vectors.select("vec_id", F.col("embedding").alias("qvec")), "vec_id")
+    return retrieval.search(table, index, asked, 5).filter("place < 5").select("query_id", "chunk_type", "chunk_pos", "place")
+
+
+@query(
+    """with toks as (select p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_name), '[a-z0-9]+')) as t from part),
+hashed as (select p_partkey, cast(cast('0x' || substr(md5(t), 1, 8) as bigint) % 64 as int) as place, case when substr(md5(t), 9, 1) < '8' then 1.0 else -1.0 end as s from toks),
+summed as (select p_partkey, place, sum(cast(s as double)) as v from hashed group by all)
+select p_partkey, place, round(v / sqrt(sum(v * v) over (partition by p_partkey)), 5) as value from summed where v <> 0 qualify true"""
+)
+def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default embedding: places of unit vectors that are not zero."""
+    text = F.concat_ws(" ", "p_name", "p_brand", "p_name")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(backends.HashEmbedder().documents(text)).alias("place", "v"))
+    return rows.filter("v != 0").select("p_partkey", "place", F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
+@query("select n_nationkey, 'Name: ' || n_name || chr(10) || '  é - end' || chr(10) as text from nation")
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts written as files, a folder for each document, and read again."""
+    raw = F.concat(F.lit("\x01Name: "), "n_name", F.lit("\n  é - end \n\n"))
+    docs = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), X.clean(raw).alias("text"))
+    path = new_path(spark, "cleaned")
+    sinks.write_text(docs, path)
+    return readers.read_texts(spark, f"{path}/*/*.txt").select(F.regexp_extract("doc_id", r"doc_id=(\d+)/", 1).cast("int").alias("n_nationkey"), "text")

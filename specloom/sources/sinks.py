@@ -77,6 +77,12 @@ class IndexBundle:
         for name, df in tables.items():
             df.withColumn("session_id", F.lit(session_id)).write.mode("append").partitionBy("session_id", "index_key").parquet(f"{self.path}/{name}")
 
+    def sessions(self) -> list[str]:
+        """The stored sessions, by the folders' names."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/chunks/session_id=*")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return sorted(str(f.getPath().getName()).removeprefix("session_id=") for f in found)
+
     def load(self, session_id: str):
         from specloom.operators.retrieval import Bm25Index
 

@@ -12,14 +12,14 @@ from specloom.plans import queries, surface  # noqa: F401
 from specloom.sources import readers, tables
 
 DATA = "/root/testdata/sf0.001"
-MORE = ["procedure_chunk_texts", "context_hints", "chunk_table", "fallback_chain", "generic_lines", "generic_stacked", "coordinate_segments", "segment_json", "question_file", "json_export", "model_responses", "empty_answers"]
+MORE = ["procedure_chunk_texts", "context_hints", "chunk_table", "fallback_chain", "generic_lines", "generic_stacked", "coordinate_segments", "segment_json", "question_file", "json_export", "model_responses", "empty_answers", "two_kinds_search", "hash_vectors", "text_sink"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the synthetic tables are not here")
 @pytest.mark.parametrize("name", MORE)
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("nation", "part", "documents"):
+    for t in ("nation", "part", "documents", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.sql(queries.SQL[name])
     got = queries.QUERIES[name](spark, DATA).select(*want.columns)
@@ -53,7 +53,9 @@ def test_tables_by_position_reach_the_index(spark, tmp_path):
     rows = [("d1", "AB-1  TITLE\nPart N·m ft·lbf\nplain nut 25 -\n", [(1, [["Part", "Torque N·m"], ["Cell nut", "77"]])]), ("d2", "AB-1  TITLE\nPart N·m ft·lbf\nother nut 30 -\n", None)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, tables array<struct<page:int,rows:array<array<string>>>>")
     one = E.Engine(spark, str(tmp_path), config=E.Config(generic=True))
+    assert one.health() == {"status": "ok", "sessions": 0, "model": False}
     one.add(docs, "s")
+    assert one.health()["sessions"] == 1 and one.bundle.sessions() == ["s"]
     chunks, _ = one.bundle.load("s")
     assert {r.component for r in chunks.filter("chunk_type = 'spec'").collect()} == {"plain nut", "Cell nut", "other nut"}
 
