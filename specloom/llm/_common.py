@@ -18,17 +18,19 @@ from __future__ import annotations
 import ctypes
 import gc
 import time
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.sources.tables import discard, materialise, new_path, shared_dir
+from specloom.sources import tables
+from specloom.sources.tables import discard, new_path, shared_dir
 
-__all__ = ["discard", "materialise", "new_path", "shared_dir"]
+__all__ = ["discard", "new_path", "shared_dir"]
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -62,6 +64,27 @@ def tidied(run):
     return tidying
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """For jobs that run inside: whole texts go to Python in batches of so many rows. Spark's 10,000 would
+    hold tens of megabytes outside the heap, several times over while they grow, in each task."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, written with small batches."""
+    with small_batches(df.sparkSession):
+        return tables.materialise(df, name)
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's estimate of the size, None if it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm._common import materialise, new_path, numbers, plan_bytes, slices, tidied
+from specloom.llm._common import new_path, numbers, plan_bytes, slices, small_batches, tidied
 from specloom.llm.tokens import encoder
 
 SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("doc_nulls", pa.binary()), ("doc_lengths", pa.binary()), ("doc_symbols", pa.binary()), ("vocab", pa.int32()), ("rules", pa.binary()), ("rule_lengths", pa.binary()), ("symbol_bytes", pa.int32()), ("symbols", pa.binary())])
@@ -222,7 +222,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            for at, n in slices(t, "text", 1_000_000):
+            for at, n in slices(t, "text"):
                 piece = t.slice(at, n)
                 ids, counts = enc.encode(piece.column("text"))
                 ends = np.cumsum(counts)
@@ -245,7 +245,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | N
     dealt = slim.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
     shards = dealt.select("doc_id", "text").mapInArrow(run, SHARD_DDL)
     path = path or new_path(spark, "token-shards")
-    shards.write.parquet(path)
+    with small_batches(spark):
+        shards.write.parquet(path)
     return spark.read.schema(shards.schema).parquet(path)
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm._common import BYTE_CODES, Layout, blobs, by_chunk, find, group_starts, materialise, mix, new_path, pack, planes, powers, prefix_sums, run_hash, slices, split_parts, table, text_bytes, tidied, tidy, unpack, unplanes
+from specloom.llm._common import BYTE_CODES, Layout, blobs, by_chunk, find, group_starts, materialise, mix, new_path, pack, planes, powers, prefix_sums, run_hash, slices, small_batches, split_parts, table, text_bytes, tidied, tidy, unpack, unplanes
 from specloom.sources.tables import delete
 
 POSITION_BITS = 28
@@ -334,7 +334,8 @@ class SuffixIndex:
             stored = self.spark.read.schema(ROWS).parquet(f"{self.path}/{folder}/kind=level").withColumn("level", F.lit(k))
             rows = rows.unionByName(stored if bits == self.bits else stored.mapInArrow(_cut_finer(self.by, self.bits), ROWS))
         folder = f"batch-{uuid.uuid4().hex}"
-        rows.groupBy("part").applyInArrow(_scan_part(self.by, merged, keep), TOLD).write.partitionBy("kind").parquet(f"{self.path}/{folder}")
+        with small_batches(self.spark):
+            rows.groupBy("part").applyInArrow(_scan_part(self.by, merged, keep), TOLD).write.partitionBy("kind").parquet(f"{self.path}/{folder}")
         read = self.spark.read.schema(TOLD).option("basePath", f"{self.path}/{folder}")
         told = read.parquet(f"{self.path}/{folder}").filter("kind = 'told'").select("chunk", "zone", "flags")
         if keep:
