@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from corpus import texts
 
 from specloom.llm import chat, quality, queries
 
@@ -30,7 +31,23 @@ def test_chat(spark):
     same(spark, "op4_chat", chat.read_back(chat.render(turns.unionByName(odd))), conversations=turns)
 
 
-@pytest.mark.parametrize("name", ["op2_cascade", "op4_chat"])
+@pytest.mark.parametrize("name", ["op5_anchors", "op8_automaton", "op9_forest", "repeated_bytes"])
+def test_windows_pairs_and_strings(spark, tmp_path, name):
+    near = texts(41, 60, 120)
+    docs = [*near, *ODD, near[3], near[4] + " more", " ".join(near[5].split()[2:]), "Ä, " + near[6].upper() + "!", "é" * 500, "é" * 450 + "x", None]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, near[6]), (2, "x x x"), (3, None), (4, "--"), (5, " ".join(near[7].split()[:14])), (None, near[8])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.register(t, spark.read.parquet(str(tmp_path / f"{t}.parquet")).toArrow())
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    rows = sorted(map(repr, want.fetchall()))
+    assert rows == sorted(repr(tuple(r)) for r in got.collect()) and len(rows) == len(docs)
+
+
+@pytest.mark.parametrize("name", ["op2_cascade", "op4_chat", "op5_anchors", "op8_automaton", "op9_forest", "repeated_bytes"])
 def test_registered(name):
     import __spark_entry__
 
