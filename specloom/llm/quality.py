@@ -8,7 +8,7 @@ which texts are kept.
 
 A rule's cost is what it adds to an empty pass over the sample: the least of several passes,
 each of which evaluates the rule many times in one task, so that a job's start does not
-count, rounded to a power of two, so that small differences decide nothing.  What all rules
+count, rounded to a power of four, so that small differences decide nothing.  What all rules
 share, a text's words and their characters, is computed once and is no rule's cost.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts are empty texts: no words, rejected for that.
@@ -140,7 +140,7 @@ def measured(t: Column, w: Column, known: dict[str, Column] | None = None) -> Me
 
 @dataclass(frozen=True)
 class Estimate:
-    """``rejected``: of the texts that the rules before have left, the share that this one rejects. ``cost``: seconds a text, a power of two."""
+    """``rejected``: of the texts that the rules before have left, the share that this one rejects. ``cost``: seconds a text, a power of four."""
 
     rule: Rule
     rejected: float
@@ -189,7 +189,7 @@ def plan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, s
     empty = _seconds(sample, F.length("text") + F.size("words") + F.col("n_words") + F.col("word_chars") < 0, copies, passes)
     costs = [max(_seconds(sample, r.rejects(m), copies, passes) - empty, 0.0) / rows for r in rules]
     discard(sample)
-    return in_order(rules, [2.0 ** max(-20, round(math.log2(max(c, 1e-9)))) for c in costs], seen)
+    return in_order(rules, [4.0 ** max(-10, round(math.log(max(c, 1e-9), 4))) for c in costs], seen)
 
 
 def verdict(order: list[Estimate], m: Measured) -> Column:
