@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from specloom.functions import patterns as P
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Without white space at either end, Unicode's included. A run inside is tried from its first character alone."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s(?<!\s\s)\s*+\z", "")
 
 
 def clean(c: Column, dialect: P.Dialect = P.WORKSHOP) -> Column:
@@ -96,21 +98,28 @@ def no_variants() -> Column:
 MOST, OVERLAP = 400, 60
 
 
-def sentences(c: Column) -> Column:
-    return F.split(c, r"(?U)(?<=[.!?])\s+")
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once for each row, however often ``use`` and its lambdas name it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def pack_sentences(c: Column, most: int = MOST) -> Column:
-    """Sentences joined by a space while the sum of both lengths is under ``most``."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
+    """Sentences joined by a space while the sum of both lengths is under ``most``.
+
+    One pass of a pattern from piece to piece, as an aggregate would copy all that is done at each sentence:
+    as many whole sentences as fit, else one. White space counts in its sentence's length; it goes from the
+    ends of what fits and stays on a sentence that doesn't.
+    """
+    end = r"(?:\z|(?<=[.!?])(?= ))"
+    piece = rf"(?sU)(.{{1,{most}}}{end}|.+?{end}) ?"
 
-    def step(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["buf"]) + F.length(s) < most
-        done = F.when(fits | (acc["buf"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["buf"])))
-        return F.struct(done.alias("done"), F.when(fits, strip(F.concat(acc["buf"], F.lit(" "), s))).otherwise(s).alias("buf"))
+    def pieces(text: Column) -> Column:
+        first = F.regexp_replace(text, rf"(?sU)\A(?=.{{1,{most - 1}}}?{end})\s+", "")
+        found = F.regexp_extract_all(F.when(F.length(text) < most, strip(text)).otherwise(first), F.lit(piece), F.lit(1))
+        return F.transform(found, lambda p: F.when(p.rlike("[.!?] "), strip(p)).otherwise(p))
 
-    packed = F.aggregate(sentences(c), state, step, lambda a: F.when(a["buf"] != "", F.concat(a["done"], F.array(a["buf"]))).otherwise(a["done"]))
-    return F.when(F.size(packed) > 0, packed).otherwise(F.array(c))
+    spaced = F.regexp_replace(F.regexp_replace(c, r"(?U)(?<=[.!?])\s+", " "), r"(?<=[.!?]) \z", "")
+    return bound(bound(spaced, pieces), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(c)))
 
 
 def step_parts(c: Column) -> Column:
@@ -121,7 +130,7 @@ def step_parts(c: Column) -> Column:
 
 def overlapped(pieces: Column, overlap: int = OVERLAP) -> Column:
     """Each piece after the last characters of the one before it."""
-    return F.transform(pieces, lambda p, i: strip(F.when(i > 0, F.concat(F.right(F.get(pieces, i - 1), F.lit(overlap)), F.lit(" "), p)).otherwise(p)))
+    return bound(pieces, lambda ps: F.transform(ps, lambda p, i: strip(F.when(i > 0, F.concat(F.right(F.get(ps, i - 1), F.lit(overlap)), F.lit(" "), p)).otherwise(p))))
 
 
 def hard_split(c: Column, most: int = MOST) -> Column:
@@ -138,8 +147,11 @@ def hard_split(c: Column, most: int = MOST) -> Column:
 
 def procedure_chunks(c: Column, most: int = MOST) -> Column:
     """A procedure's text as chunks: whole if short, else by steps, else by sentences; with overlap; hard-cut last."""
-    steps = step_parts(c)
-    longest = F.coalesce(F.array_max(F.transform(steps, F.length)), F.lit(0))
-    pieces = F.when((F.size(steps) <= 1) | (longest > 2 * most), pack_sentences(c, most)).otherwise(steps)
+
+    def kept(steps: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(steps, F.length)), F.lit(0))
+        return F.when((F.size(steps) <= 1) | (longest > 2 * most), pack_sentences(c, most)).otherwise(steps)
+
+    pieces = bound(step_parts(c), kept)
     cut = F.flatten(F.transform(overlapped(pieces), lambda p: hard_split(p, most)))
     return F.when(F.length(c) <= most, F.array(c)).otherwise(cut)

@@ -1,5 +1,7 @@
 """Line shapes one by one, with the results written out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,29 @@ def test_procedure_splitting_equals_a_loop(spark):
         assert got[i] == split_model(t), i
 
 
+def test_a_long_text_is_split_once(spark):
+    texts = [" ".join(f"sentence {i}{' word' * (i % 23)} ends{'.!?'[i % 3]}" for i in range(2000)), " ".join(f"{i % 90 + 1}. step {i}{' word' * (i % 150)}" for i in range(500))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.procedure_chunks(F.col("t")).alias("c"))
+    plan = df._jdf.queryExecution().analyzed().toString()  # an expression in a lambda is worked out anew for each element
+    assert (plan.count("(?U)(?<=[.!?])"), plan.count(r"\b\d{1,2}")) == (1, 1)
+    got = {r.i: r.c for r in df.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == split_model(t), i
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    texts = ["a" + " " * 120_000 + "b", " ".join(f"sentence {i}{' word' * 70} ends." for i in range(9000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.procedure_chunks(F.col("t")).alias("c"))
+    began = time.perf_counter()
+    got = {r.i: r.c for r in df.collect()}
+    assert time.perf_counter() - began < 20
+    for i, t in enumerate(texts):
+        assert got[i] == split_model(t), i
+    counts = [1, 2, 255, 256, 257, 1000]
+    rows = spark.createDataFrame([(n, " ".join(f"{i}." for i in range(n))) for n in counts], "n int, t string")
+    assert {r.n: r.c for r in rows.select("n", X.pack_sentences(F.col("t"), 2).alias("c")).collect()} == {n: [f"{i}." for i in range(n)] for n in counts}
+
+
 def test_enrichment(spark):
     spec = lambda c, t, v=(): one(spark, chunks.enrich_spec(F.lit(t), F.lit("Front"), F.array(*map(F.lit, v)).cast("array<string>"), F.lit("SPECIFICATIONS"), F.lit(c)))
     assert spec("Nut (SVT Raptor)", "Component: Nut (SVT Raptor) — Torque: 5.0 Nm", ["4WD"]) == "SVT Raptor | SVT Raptor Nut | Section: Front | Variant: 4WD | Context: SPECIFICATIONS | Component: Nut (SVT Raptor) | Torque: 5.0 Nm"
